@@ -119,3 +119,34 @@ def hot_split_join(big: DataFrame, keyed: DataFrame, on: list[str], count: str,
     b = split.where(F.col("__hot").isNull()).drop("__hot").join(keyed.where(F.col(count) <= least), on, how)
     cols = [*big.columns, *names]
     return a.select(*cols).unionByName(b.select(*cols))
+
+
+def bit_prefilter(big: DataFrame, keys: DataFrame, on: str, bits: int = 23) -> DataFrame:
+    """big's rows whose key may be among the keys, by a bitmap of 2**bits bits.
+
+    The bitmap is at most 2**(bits - 6) rows of a word each, whatever the number of keys, so it can be broadcast. It
+    lets rows through that an exact join after it drops; it never drops one that the join would keep.
+    """
+    h = F.pmod(F.xxhash64(F.col(on)), F.lit(1 << bits))
+    words = keys.select(h.alias("__h")).groupBy(F.shiftright("__h", 6).alias("__w")).agg(F.expr("bit_or(shiftleft(1L, cast(__h & 63 as int)))").alias("__bits"))
+    found = big.withColumn("__h", h).withColumn("__w", F.shiftright("__h", 6)).join(F.broadcast(words), "__w")
+    return found.where(F.expr("(shiftrightunsigned(__bits, cast(__h & 63 as int)) & 1) = 1")).select(*big.columns)
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each run of equal keys, from batches that are sorted by the key."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        k = b[key].to_numpy(zero_copy_only=False)
+        if not len(k):
+            continue
+        starts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
+        for a, z in zip(starts[:-1], starts[1:], strict=True):
+            if held and k[a] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(int(a), int(z - a)))
+            last = k[a]
+    if held:
+        yield pa.Table.from_batches(held)
