@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidewater.llm.decontamination import op5_decontamination
 from tidewater.llm.jaccard_join import op3_ngram_jaccard
 from tidewater.llm.packing import op2_best_fit_packing
 from tidewater.llm.token_output import op4_token_orc
@@ -10,5 +11,6 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_token_orc": op4_token_orc,
+    "op5_decontamination": op5_decontamination,
 }
 ORACLE: dict[str, str] = {}
