@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from tidewater.llm.decontamination import op5_decontamination
 from tidewater.llm.jaccard_join import op3_ngram_jaccard
+from tidewater.llm.media import op1_flac_media
 from tidewater.llm.packing import op2_best_fit_packing
 from tidewater.llm.token_output import op4_token_orc
 
 QUERIES = {
+    "op1_flac_media": op1_flac_media,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_token_orc": op4_token_orc,
