@@ -150,3 +150,16 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
             last = k[a]
     if held:
         yield pa.Table.from_batches(held)
+
+
+def held_out(doc_id: str = "doc_id"):
+    """Whether crc32(doc_id as text) mod 5 is 0; false for a null doc_id."""
+    return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
+
+
+def hash_sample(rows: DataFrame, by: str, key: str, most: int, counts: dict) -> DataFrame:
+    """About `most` rows of each value of `by` (all, where there are fewer), by a hash of the key."""
+    share = F.lit(0.0)
+    for v, n in counts.items():
+        share = F.when(F.col(by) == F.lit(v), F.lit(min(1.0, most / n))).otherwise(share)
+    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 20)) < share * (1 << 20))

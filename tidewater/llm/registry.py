@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidewater.llm.decontamination import op5_decontamination
 from tidewater.llm.jaccard_join import op3_ngram_jaccard
+from tidewater.llm.language_id import op10_language_id
 from tidewater.llm.media import op1_flac_media
 from tidewater.llm.packing import op2_best_fit_packing
 from tidewater.llm.token_output import op4_token_orc
@@ -14,5 +15,6 @@ QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_token_orc": op4_token_orc,
     "op5_decontamination": op5_decontamination,
+    "op10_language_id": op10_language_id,
 }
 ORACLE: dict[str, str] = {}
