@@ -8,6 +8,7 @@ from tidewater.llm.language_id import op10_language_id
 from tidewater.llm.media import op1_flac_media
 from tidewater.llm.packing import op2_best_fit_packing
 from tidewater.llm.token_output import op4_token_orc
+from tidewater.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_flac_media": op1_flac_media,
@@ -16,5 +17,6 @@ QUERIES = {
     "op4_token_orc": op4_token_orc,
     "op5_decontamination": op5_decontamination,
     "op10_language_id": op10_language_id,
+    "op7_toxicity": op7_toxicity,
 }
 ORACLE: dict[str, str] = {}
