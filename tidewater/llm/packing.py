@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import sliced, table, utf8, written
-from tidewater.llm.tokens import TOKENIZER, TokenBytes
+from tidewater.llm.tokens import TOKENIZER, token_bytes
 
 CAPACITY = 4096
 #: Pieces that one partition packs.
@@ -74,11 +74,10 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOK
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, step = TokenBytes(tokenizer), 4 * capacity
+        memo, step = token_bytes(tokenizer), 4 * capacity
         for b in sliced(batches):
             out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(b["doc_id"].to_pylist(), utf8(b), strict=True):
-                ids = memo.of(text, end_id)
+            for doc, ids in zip(b["doc_id"].to_pylist(), memo.of(utf8(b), end_id), strict=True):
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     for col, x in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import new_path, sliced, table, utf8
-from tidewater.llm.tokens import TOKENIZER, TokenBytes
+from tidewater.llm.tokens import TOKENIZER, token_bytes
 
 SCHEMA = "part int, row long, doc_id long, local_start long, n_tokens long, ids array<int>"
 
@@ -26,9 +26,9 @@ def write_orc(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: in
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, part, row, start = TokenBytes(tokenizer), TaskContext.get().partitionId(), 0, 0
+        memo, part, row, start = token_bytes(tokenizer), TaskContext.get().partitionId(), 0, 0
         for b in sliced(batches):
-            ids = [np.frombuffer(memo.of(t, end_id), "<i4") for t in utf8(b)]
+            ids = [np.frombuffer(x, "<i4") for x in memo.of(utf8(b), end_id)]
             n = np.array([len(x) for x in ids], np.int64)
             ends = np.concatenate([[0], np.cumsum(n)])
             yield pa.RecordBatch.from_arrays(

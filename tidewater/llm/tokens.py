@@ -4,34 +4,99 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import public_tokenizers
 
-from tidewater.llm.common import MEMO_ENTRIES
-
 TOKENIZER = "word_bpe_49k.json"
+#: Pieces in each of the memo's two generations; a bound on memory, without effect on results.
+GENERATION = 400_000
+#: Words in one text that is encoded for the memo.
+JOINED = 50
 
 
-class TokenBytes(dict):
-    """The ids of a piece as little-endian 32-bit integers.
+class TokenBytes:
+    """Texts to ids as little-endian 32-bit integers.
 
-    The tokenizer drops white space and no token, composition or lower-casing reaches over ASCII white space, so the
-    ids of a text are those of its pieces in order. Emptied at MEMO_ENTRIES, a bound on memory only.
+    The tokenizer drops white space, and no token, composition or lower-casing reaches over ASCII white space, so the
+    ids of a text are those of its pieces in order. A piece of letters and one final point or comma has the letters'
+    ids and that mark's. Unknown words of letters are encoded many at once: each is one run of letters to the
+    tokenizer, so it ends where a token does that ends a word.
     """
 
     def __init__(self, file: str = TOKENIZER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        path = file if os.path.isabs(file) else public_tokenizers.path(file)
-        self.encode = Tokenizer.from_file(path).encode
+        self.tokenizer = Tokenizer.from_file(file if os.path.isabs(file) else public_tokenizers.path(file))
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.now: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.marks = {m: self._ids([m.decode()])[0] for m in (b".", b",")}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add(self, pieces: set[bytes]) -> None:
+        now, old = self.now, self.old
+        if len(now) >= GENERATION:
+            self.old, self.now = now, {}
+            now, old = self.now, self.old
+        split, words, other = [], [], []
+        for p in pieces:
+            if p in now:
+                continue
+            if (known := old.get(p)) is not None:
+                now[p] = known
+                continue
+            base, mark = (p[:-1], p[-1:]) if p[-1:] in self.marks else (p, b"")
+            if base.isalpha():  # ASCII letters
+                low = base.lower()
+            else:
+                s = base.decode("utf-8", "replace").lower()
+                if not s.isalpha() or "�" in s:
+                    other.append(p)
+                    continue
+                low = base if mark else p
+            split.append((p, low, mark))
+            if low not in now:
+                if (known := old.get(low)) is not None:
+                    now[low] = known
+                else:
+                    now[low] = b""
+                    words.append(low)
+        for p, b in zip(other, self._ids([p.decode("utf-8", "replace") for p in other]), strict=True):
+            now[p] = b
+        for i in range(0, len(words), JOINED * 200):
+            some = words[i : i + JOINED * 200]
+            got = self._ids([b" ".join(some[j : j + JOINED]).decode() for j in range(0, len(some), JOINED)])
+            joined = b"".join(got)
+            at = [0, *((np.flatnonzero(self.ends[np.frombuffer(joined, "<u4")]) + 1) * 4).tolist()]
+            if len(at) != len(some) + 1:
+                raise RuntimeError("a word's ids don't end with the word")
+            for w, a, z in zip(some, at[:-1], at[1:], strict=True):
+                now[w] = joined[a:z]
+        for p, low, mark in split:
+            now[p] = now[low] + self.marks[mark] if mark else now[low]
+
+    def of(self, texts: list[bytes], end: int) -> list[bytes]:
+        """The ids of each whole text and one end id."""
+        pieces = [t.split() for t in texts]
+        missing = set().union(*pieces).difference(self.now)
+        if missing:
+            if len(self.now) >= GENERATION:
+                missing = set().union(*pieces)
+            self._add(missing)
+        get, last = self.now.__getitem__, end.to_bytes(4, "little")
+        return [b"".join(map(get, p)) + last for p in pieces]
+
+
+_KEPT: dict[str, TokenBytes] = {}
 
-    def __missing__(self, piece: bytes) -> bytes:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        ids = self.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids
-        b = self[piece] = b"".join(i.to_bytes(4, "little") for i in ids)
-        return b
 
-    def of(self, text: bytes, end: int) -> bytes:
-        """The ids of a whole text and one end id."""
-        return b"".join(map(self.__getitem__, text.split())) + end.to_bytes(4, "little")
+def token_bytes(file: str = TOKENIZER) -> TokenBytes:
+    """The process's own TokenBytes: its memo serves all tasks of a worker."""
+    if file not in _KEPT:
+        _KEPT[file] = TokenBytes(file)
+    return _KEPT[file]
