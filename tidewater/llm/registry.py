@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidewater.llm.decontamination import op5_decontamination
+from tidewater.llm.html_text import op8_html_text
 from tidewater.llm.jaccard_join import op3_ngram_jaccard
 from tidewater.llm.language_id import op10_language_id
 from tidewater.llm.media import op1_flac_media
@@ -18,5 +19,6 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op10_language_id": op10_language_id,
     "op7_toxicity": op7_toxicity,
+    "op8_html_text": op8_html_text,
 }
 ORACLE: dict[str, str] = {}
