@@ -121,16 +121,21 @@ def hot_split_join(big: DataFrame, keyed: DataFrame, on: list[str], count: str,
     return a.select(*cols).unionByName(b.select(*cols))
 
 
-def bit_prefilter(big: DataFrame, keys: DataFrame, on: str, bits: int = 23) -> DataFrame:
-    """big's rows whose key may be among the keys, by a bitmap of 2**bits bits.
+def bit_flag(big: DataFrame, keys: DataFrame, on: str, flag: str, bits: int = 23) -> DataFrame:
+    """big's rows with a flag: whether their key may be among the keys, by a bitmap of 2**bits bits.
 
-    The bitmap is at most 2**(bits - 6) rows of a word each, whatever the number of keys, so it can be broadcast. It
-    lets rows through that an exact join after it drops; it never drops one that the join would keep.
+    The bitmap is at most 2**(bits - 6) rows of a word each, whatever the number of keys, so it can be broadcast. The
+    flag may hold for other keys too, which an exact join after it sorts out; it always holds for the keys given.
     """
     h = F.pmod(F.xxhash64(F.col(on)), F.lit(1 << bits))
     words = keys.select(h.alias("__h")).groupBy(F.shiftright("__h", 6).alias("__w")).agg(F.expr("bit_or(shiftleft(1L, cast(__h & 63 as int)))").alias("__bits"))
-    found = big.withColumn("__h", h).withColumn("__w", F.shiftright("__h", 6)).join(F.broadcast(words), "__w")
-    return found.where(F.expr("(shiftrightunsigned(__bits, cast(__h & 63 as int)) & 1) = 1")).select(*big.columns)
+    found = big.withColumn("__h", h).withColumn("__w", F.shiftright("__h", 6)).join(F.broadcast(words), "__w", "left")
+    return found.select(*big.columns, F.expr("coalesce((shiftrightunsigned(__bits, cast(__h & 63 as int)) & 1) = 1, false)").alias(flag))
+
+
+def bit_prefilter(big: DataFrame, keys: DataFrame, on: str, bits: int = 23) -> DataFrame:
+    """big's rows whose key may be among the keys, as bit_flag says."""
+    return bit_flag(big, keys, on, "__may", bits).where("__may").drop("__may")
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

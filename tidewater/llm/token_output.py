@@ -40,7 +40,7 @@ def write_orc(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: in
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     (
-        ordered.mapInArrow(encode, SCHEMA).write.option("orc.compress", "ZSTD").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", 0.01)
+        ordered.mapInArrow(encode, SCHEMA).write.option("orc.compress", "LZ4").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", 0.01)
         .option("orc.row.index.stride", index_stride).option("orc.stripe.size", stripe_bytes).option("orc.create.index", "true").orc(path)
     )
     return path
@@ -62,7 +62,7 @@ def with_crc(rows: DataFrame) -> DataFrame:
         for b in batches:
             ids = b["ids"]
             ends, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
-            crcs = [zlib.crc32(values[a:z].tobytes()) for a, z in zip(ends[:-1], ends[1:], strict=True)]
+            crcs = [zlib.crc32(values[a:z]) for a, z in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["start"], pa.array(np.diff(ends).astype(np.int64)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return rows.select("doc_id", "start", "ids").mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")

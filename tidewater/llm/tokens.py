@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
@@ -43,19 +44,20 @@ class TokenBytes:
         if len(now) >= GENERATION:
             self.old, self.now = now, {}
             now, old = self.now, self.old
-        split, words, other = [], [], []
-        for p in pieces:
-            if p in now:
-                continue
-            if (known := old.get(p)) is not None:
-                now[p] = known
-                continue
+        if old:
+            found = pieces & old.keys()
+            now.update(zip(found, map(old.__getitem__, found), strict=True))
+            pieces = pieces - found
+        words = [p for p in pieces if p.isalpha() and p.islower()]  # ASCII letters
+        now.update(dict.fromkeys(words, b""))
+        split, other = [], []
+        for p in pieces.difference(words):
             base, mark = (p[:-1], p[-1:]) if p[-1:] in self.marks else (p, b"")
-            if base.isalpha():  # ASCII letters
+            if base.isalpha():
                 low = base.lower()
             else:
-                s = base.decode("utf-8", "replace").lower()
-                if not s.isalpha() or "�" in s:
+                s = base.decode("utf-8", "replace")
+                if not s.isalpha() or not s.lower().isalpha():
                     other.append(p)
                     continue
                 low = base if mark else p
@@ -75,14 +77,14 @@ class TokenBytes:
             at = [0, *((np.flatnonzero(self.ends[np.frombuffer(joined, "<u4")]) + 1) * 4).tolist()]
             if len(at) != len(some) + 1:
                 raise RuntimeError("a word's ids don't end with the word")
-            for w, a, z in zip(some, at[:-1], at[1:], strict=True):
-                now[w] = joined[a:z]
+            now.update(zip(some, [joined[a:z] for a, z in pairwise(at)], strict=True))
         for p, low, mark in split:
             now[p] = now[low] + self.marks[mark] if mark else now[low]
 
     def of(self, texts: list[bytes], end: int) -> list[bytes]:
         """The ids of each whole text and one end id."""
-        pieces = [t.split() for t in texts]
+        # Lower case of ASCII first, where no combining mark and no special token depends on it.
+        pieces = [(t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
         missing = set().union(*pieces).difference(self.now)
         if missing:
             if len(self.now) >= GENERATION:
