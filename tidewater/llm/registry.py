@@ -8,6 +8,7 @@ from tidewater.llm.jaccard_join import op3_ngram_jaccard
 from tidewater.llm.language_id import op10_language_id
 from tidewater.llm.media import op1_flac_media
 from tidewater.llm.packing import op2_best_fit_packing
+from tidewater.llm.pii import op6_pii_weak_supervision
 from tidewater.llm.secrets import op9_secret_scan
 from tidewater.llm.token_output import op4_token_orc
 from tidewater.llm.toxicity import op7_toxicity
@@ -22,5 +23,6 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_html_text": op8_html_text,
     "op9_secret_scan": op9_secret_scan,
+    "op6_pii_weak_supervision": op6_pii_weak_supervision,
 }
 ORACLE: dict[str, str] = {}
