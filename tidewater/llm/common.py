@@ -157,6 +157,11 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def row_key():
+    """A hash of doc_id and text, the same for repeated rows only."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("\u0000null")))
+
+
 def held_out(doc_id: str = "doc_id"):
     """Whether crc32(doc_id as text) mod 5 is 0; false for a null doc_id."""
     return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
@@ -168,3 +173,18 @@ def hash_sample(rows: DataFrame, by: str, key: str, most: int, counts: dict) ->
     for v, n in counts.items():
         share = F.when(F.col(by) == F.lit(v), F.lit(min(1.0, most / n))).otherwise(share)
     return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 20)) < share * (1 << 20))
+
+
+def without_keys(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows whose key isn't among the keys; a null key stays. Only rows that a fixed-size bitmap marks are joined."""
+    flagged = bit_flag(rows, keys, on, "__may")
+    rest = flagged.where("__may").join(keys.select(on).distinct(), on, "left_anti")
+    return flagged.where(~F.col("__may")).select(*rows.columns).unionByName(rest.select(*rows.columns))
+
+
+def once_of(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows, but one only for each key among the keys. Only rows that a fixed-size bitmap marks are shuffled."""
+    flagged = bit_flag(rows, keys, on, "__may")
+    marked = flagged.where("__may").join(keys.select(on).distinct().withColumn("__is", F.lit(True)), on, "left")
+    once = marked.where("__is").dropDuplicates([on]).select(*rows.columns)
+    return flagged.where(~F.col("__may")).select(*rows.columns).unionByName(marked.where(F.col("__is").isNull()).select(*rows.columns)).unionByName(once)

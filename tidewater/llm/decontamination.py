@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import WordHash, grams, sliced, table, utf8
+from tidewater.llm.common import WordHash, grams, row_key, sliced, table, utf8, without_keys, written
 
 WINDOW = 10
 GRAM = 5
@@ -198,6 +198,13 @@ def contaminated_words(docs: DataFrame, items: DataFrame) -> DataFrame:
     return each.withColumn("n", F.explode(F.sequence(F.lit(1), "n"))).drop("n").mapInArrow(_summary, told)
 
 
+def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """docs without the documents that hold a window of an item; all columns stay."""
+    keyed = docs.withColumn("key", row_key())
+    found, _ = written(contaminated_words(keyed.select(F.col("key").alias("doc_id"), "text"), items).where("contaminated").select(F.col("doc_id").alias("key")), "contaminated")
+    return without_keys(keyed, found, "key").select(*docs.columns)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words that occur in windows of the benchmark."""
     return contaminated_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("runs")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import WordHash, bit_prefilter, drop_path, grams, hot_split_join, mix, runs, sliced, table, utf8, written
+from tidewater.llm.common import WordHash, bit_prefilter, drop_path, grams, hot_split_join, mix, once_of, row_key, runs, sliced, table, utf8, without_keys, written
 from tidewater.llm.components import connected_components
 
 WORDS = 5
@@ -53,15 +53,15 @@ def _sig(s: np.ndarray) -> int:
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document (its set's size and signature), and at the end the counts of all shingles in chunks."""
     memo, counts = WordHash(), np.zeros(1 << SKETCH_BITS, np.uint32)
-    names = ["doc_id", "n", "sig", "chunk", "counts"]
+    names = ["doc_id", "key", "n", "sig", "chunk", "counts"]
     for b in sliced(batches):
         sets = [shingles(t, memo) for t in utf8(b)]
         counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
         n = len(sets)
-        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([_sig(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["key"], pa.array([len(s) for s in sets], pa.int64()), pa.array([_sig(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
     rows = [(i, c.tobytes()) for i, c in enumerate(counts.reshape(-1, CHUNK)) if c.any()]
     if rows:
-        nulls = [pa.nulls(len(rows), pa.int64())] * 3
+        nulls = [pa.nulls(len(rows), pa.int64())] * 4
         yield pa.RecordBatch.from_arrays([*nulls, pa.array([i for i, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.binary())], names=names)
 
 
@@ -288,17 +288,17 @@ def _blocks(members: DataFrame) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row.
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach) and key (a hash of doc_id and text) of every row.
 
     Links: Jaccard of the shingle sets >= 3/4. Null or empty texts have no shingles and link with nothing. Repeated
     rows are copies of each other and stay; null doc_ids stay and are never a component's name while another is
-    there. Other columns are not read.
+    there; without a doc_id, a row belongs to the rows of its own set only. Other columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profiles, profiles_path = written(rows.mapInArrow(_profiles, "doc_id long, n long, sig long, chunk int, counts binary"), "profiles")
+    profiles, profiles_path = written(rows.withColumn("key", row_key()).mapInArrow(_profiles, "doc_id long, key long, n long, sig long, chunk int, counts binary"), "profiles")
     levels = spark.sparkContext.broadcast(_sketch(profiles))
-    own = profiles.where("chunk is null").select("doc_id", "n", "sig")
+    own = profiles.where("chunk is null").select("doc_id", "key", "n", "sig")
     sigs, sigs_path = written(own.where("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sigs")
 
     tokens = rows.mapInArrow(_prefixes(levels), "token long, sig long, meta long")
@@ -324,9 +324,21 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     for p in (edges_path, members_path):
         drop_path(spark, p)
     full = hot_split_join(own.where("n > 0"), named, ["sig", "n"], "copies", total)
-    return full.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return full.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "key").unionByName(own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "key"))
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs with one document of each component: the one that names it, and one row of repeated ones.
+
+    A group without any doc_id keeps a row of each text. All columns stay.
+    """
+    found, _ = written(similar_documents(docs), "similar")
+    keyed = docs.withColumn("key", row_key())
+    gone = found.where("component_id is not null and not (doc_id <=> component_id)").select("key")
+    again = found.where("component_id is null or doc_id <=> component_id").groupBy("key").count().where("count > 1").select("key")
+    return once_of(without_keys(keyed, gone, "key"), again, "key").select(*docs.columns)
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shingle count and component."""
-    return similar_documents(table(spark, sf_dir, "documents"))
+    return similar_documents(table(spark, sf_dir, "documents")).drop("key")

@@ -13,7 +13,7 @@ from operator import and_
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bit_flag, hot_split_join, table
+from tidewater.llm.common import bit_flag, hot_split_join, row_key, table
 from tidewater.llm.native_spans import found_spans, has_hits, listed, span_rows
 
 _ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]++)"
@@ -78,10 +78,6 @@ def scan(docs: DataFrame, repository: str = "source", owner: str = "source", mos
     return found, spans.withColumn("verdict", verdict).drop("__repo", "__owner", "uses", "hash"), path
 
 
-def row_key():
-    return F.xxhash64("doc_id", F.coalesce("text", F.lit("\u0000null")))
-
-
 def secret_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, one row for each of docs.
 
