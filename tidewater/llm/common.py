@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words kept in one process's memo before it is emptied; a bound on memory, without effect on results.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 200_000
 
 #: Bytes of text in one piece of a batch that is worked on at once.
 SLICE_BYTES = 4_000_000
@@ -52,6 +53,19 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_KEPT: dict = {}
+
+
+def kept(key: str, make):
+    """What make() gives, kept by this process until something else is: a worker's tasks share one memo, and only one."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 class WordHash(dict):
     """64-bit hash of a word; filled as words come, emptied at MEMO_ENTRIES."""
 
@@ -65,6 +79,10 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def word_hash() -> WordHash:
+    return kept("words", WordHash)
+
+
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -97,6 +115,7 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
         cuts = np.flatnonzero(np.diff(piece)) + 1
         for a, b in zip([0, *cuts], [*cuts, len(lengths)], strict=True):
             yield batch.slice(int(a), int(b - a))
+    pa.default_memory_pool().release_unused()
 
 
 def utf8(batch: pa.RecordBatch, text: str = "text") -> list[bytes]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import WordHash, grams, row_key, sliced, table, utf8, without_keys, written
+from tidewater.llm.common import WordHash, grams, row_key, sliced, table, utf8, without_keys, word_hash, written
 
 WINDOW = 10
 GRAM = 5
@@ -108,7 +108,7 @@ def _hits(windows, tell_all: bool):
     """A row for each document (tell_all) or each that has a hit: its words, the runs of hit words, and the items."""
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, known = WordHash(), windows.value
+        memo, known = word_hash(), windows.value
         for b in sliced(batches):
             keep, n_words, runs, items = [], [], [], []
             for i, t in enumerate(utf8(b)):

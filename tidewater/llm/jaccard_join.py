@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import WordHash, bit_prefilter, drop_path, grams, hot_split_join, mix, once_of, row_key, runs, sliced, table, utf8, without_keys, written
+from tidewater.llm.common import WordHash, bit_prefilter, drop_path, grams, hot_split_join, mix, once_of, row_key, runs, sliced, table, utf8, without_keys, word_hash, written
 from tidewater.llm.components import connected_components
 
 WORDS = 5
@@ -52,7 +52,7 @@ def _sig(s: np.ndarray) -> int:
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document (its set's size and signature), and at the end the counts of all shingles in chunks."""
-    memo, counts = WordHash(), np.zeros(1 << SKETCH_BITS, np.uint32)
+    memo, counts = word_hash(), np.zeros(1 << SKETCH_BITS, np.uint32)
     names = ["doc_id", "key", "n", "sig", "chunk", "counts"]
     for b in sliced(batches):
         sets = [shingles(t, memo) for t in utf8(b)]
@@ -92,7 +92,7 @@ def _sketch(profiles: DataFrame) -> np.ndarray:
 
 def _prefixes(levels) -> callable:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, level, seen = WordHash(), levels.value, set()
+        memo, level, seen = word_hash(), levels.value, set()
         count = np.exp2(np.arange(256) / 8.0)
         floor = count[level].mean()
         excess = np.maximum(0.0, count - 1.5 * floor)  # what a token has above the sketch's mean load
@@ -249,7 +249,7 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by block key: links between the documents of each block, or of its two sides."""
-    memo = WordHash()
+    memo = word_hash()
     for rows in runs(batches, "key"):
         ids, side = rows["rep"].to_numpy(), rows["side"].to_numpy()
         if len(ids) < 2:

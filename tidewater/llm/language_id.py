@@ -11,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import hash_sample, held_out, mix, sliced, table
+from tidewater.llm.common import hash_sample, held_out, kept, mix, sliced, table
 
 ORDER = 4
 #: Documents of each language that the models are fitted on: the bound on the training sample.
 DOCS_PER_LANGUAGE = 2000
 #: Words in the scorer's memo, a bound on memory.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 #: Share of a language's own training documents whose cross-entropy may lie above its rejection threshold.
 REJECTED = 0.001
 UNDETERMINED = "und"
@@ -270,15 +270,9 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> KneserNe
     return model
 
 
-_KEPT: dict[str, Scorer] = {}
-
-
 def _scorer(model: KneserNey) -> Scorer:
     """The process's own scorer of the model: its memo serves all tasks of a worker."""
-    if model.key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[model.key] = Scorer(model)
-    return _KEPT[model.key]
+    return kept(model.key, lambda: Scorer(model))
 
 
 def identify(docs: DataFrame, model: KneserNey | None) -> DataFrame:

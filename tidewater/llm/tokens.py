@@ -8,6 +8,8 @@ from itertools import pairwise
 import numpy as np
 import public_tokenizers
 
+from tidewater.llm.common import kept
+
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces in each of the memo's two generations; a bound on memory, without effect on results.
 GENERATION = 400_000
@@ -94,11 +96,6 @@ class TokenBytes:
         return [b"".join(map(get, p)) + last for p in pieces]
 
 
-_KEPT: dict[str, TokenBytes] = {}
-
-
 def token_bytes(file: str = TOKENIZER) -> TokenBytes:
     """The process's own TokenBytes: its memo serves all tasks of a worker."""
-    if file not in _KEPT:
-        _KEPT[file] = TokenBytes(file)
-    return _KEPT[file]
+    return kept(f"tokens {file}", lambda: TokenBytes(file))

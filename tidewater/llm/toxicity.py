@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import WordHash, drop_path, grams, hash_sample, held_out, sliced, table, utf8, written
+from tidewater.llm.common import drop_path, grams, hash_sample, held_out, kept, sliced, table, utf8, word_hash, written
 
 #: Labelled documents of each class that lexicon and model are fitted on: the bound on the training sample.
 DOCS_PER_CLASS = 4000
@@ -29,7 +29,7 @@ DOCS_PER_CLASS = 4000
 STEMS = (4, 5, 6, 7)
 #: Least log-odds of a learnt entry, and least share of the toxic sample that has it.
 LEAST_ODDS, LEAST_SHARE, LEAST_DOCS = 4.0, 0.01, 4
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 
 # Categories of words.
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
@@ -218,7 +218,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> tuple[DataFrame,
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A key that copies mostly share, the least hash of a word 3-gram: words of a much-copied text are no evidence."""
-    memo = WordHash()
+    memo = word_hash()
     for b in sliced(batches):
         keys = []
         for t in utf8(b):
@@ -283,15 +283,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, counts: dict, ridge: float = 1e-3, s
     return [float(v) for v in b[:-1]], float(b[-1])
 
 
-_KEPT: dict[str, Reader] = {}
-
-
 def _reader(g: Grammar) -> Reader:
     """The process's own reader of the grammar."""
-    if g.key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[g.key] = Reader(g)
-    return _KEPT[g.key]
+    return kept(g.key, lambda: Reader(g))
 
 
 def score_rows(rows: DataFrame, model: Grammar) -> DataFrame:
