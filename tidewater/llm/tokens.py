@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from itertools import pairwise
+from operator import itemgetter
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +13,7 @@ from tidewater.llm.common import kept
 
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces in each of the memo's two generations; a bound on memory, without effect on results.
-GENERATION = 400_000
+GENERATION = 600_000
 #: Words in one text that is encoded for the memo.
 JOINED = 50
 
@@ -52,24 +53,26 @@ class TokenBytes:
             pieces = pieces - found
         words = [p for p in pieces if p.isalpha() and p.islower()]  # ASCII letters
         now.update(dict.fromkeys(words, b""))
-        split, other = [], []
-        for p in pieces.difference(words):
-            base, mark = (p[:-1], p[-1:]) if p[-1:] in self.marks else (p, b"")
-            if base.isalpha():
-                low = base.lower()
+        rest = list(pieces.difference(words))
+        strings = b" ".join(rest).decode("utf-8", "replace").split(" ") if rest else []
+        if len(strings) != len(rest):
+            raise RuntimeError("a piece holds a space")
+        split, other, marks = [], [], self.marks
+        for p, s in zip(rest, strings, strict=True):
+            if s.isalpha() and s.lower().isalpha():
+                if p not in now:
+                    now[p] = b""
+                    words.append(p)
+            elif p[-1:] in marks and (s := s[:-1]).isalpha() and s.lower().isalpha():
+                split.append((p, low := p[:-1], p[-1:]))
+                if low not in now:
+                    if (known := old.get(low)) is not None:
+                        now[low] = known
+                    else:
+                        now[low] = b""
+                        words.append(low)
             else:
-                s = base.decode("utf-8", "replace")
-                if not s.isalpha() or not s.lower().isalpha():
-                    other.append(p)
-                    continue
-                low = base if mark else p
-            split.append((p, low, mark))
-            if low not in now:
-                if (known := old.get(low)) is not None:
-                    now[low] = known
-                else:
-                    now[low] = b""
-                    words.append(low)
+                other.append(p)
         for p, b in zip(other, self._ids([p.decode("utf-8", "replace") for p in other]), strict=True):
             now[p] = b
         for i in range(0, len(words), JOINED * 200):
@@ -81,7 +84,7 @@ class TokenBytes:
                 raise RuntimeError("a word's ids don't end with the word")
             now.update(zip(some, [joined[a:z] for a, z in pairwise(at)], strict=True))
         for p, low, mark in split:
-            now[p] = now[low] + self.marks[mark] if mark else now[low]
+            now[p] = now[low] + marks[mark]
 
     def of(self, texts: list[bytes], end: int) -> list[bytes]:
         """The ids of each whole text and one end id."""
@@ -92,8 +95,8 @@ class TokenBytes:
             if len(self.now) >= GENERATION:
                 missing = set().union(*pieces)
             self._add(missing)
-        get, last = self.now.__getitem__, end.to_bytes(4, "little")
-        return [b"".join(map(get, p)) + last for p in pieces]
+        now, last = self.now, end.to_bytes(4, "little")
+        return [(b"".join(itemgetter(*p)(now)) if len(p) > 1 else b"".join(now[x] for x in p)) + last for p in pieces]
 
 
 def token_bytes(file: str = TOKENIZER) -> TokenBytes:
