@@ -21,6 +21,15 @@ MEMO_ENTRIES = 200_000
 SLICE_BYTES = 4_000_000
 
 
+def texts(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches in its session bounded by bytes: rows hold whole texts, and ten thousand of them (Spark's
+    default, which counts rows only) are tens of MB in the JVM and again in each worker."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -9,14 +9,14 @@ guarantee doesn't reach them, so their lengths are looked up at each word.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import WordHash, grams, row_key, sliced, table, utf8, without_keys, word_hash, written
+from tidewater.llm.common import WordHash, grams, row_key, sliced, table, texts, utf8, without_keys, word_hash, written
 
 WINDOW = 10
 GRAM = 5
@@ -104,8 +104,9 @@ def _among(h: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[at] == h
 
 
-def _hits(windows, tell_all: bool):
-    """A row for each document (tell_all) or each that has a hit: its words, the runs of hit words, and the items."""
+def _hits(windows, tell_all: bool, told: bool):
+    """A row for each document (tell_all) or each that has a hit: its words, the runs of hit words, and the items -
+    or, with told, what _summary makes of them."""
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, known = word_hash(), windows.value
@@ -116,18 +117,24 @@ def _hits(windows, tell_all: bool):
                 found, whose = known.spans(w) if len(w) else ([], set())
                 if not found and not tell_all:
                     continue
-                mark = np.zeros(len(w) + 2, np.int64)
-                for a, n in found:
-                    mark[a + 1] += 1
-                    mark[a + n + 1] -= 1
-                hit = np.cumsum(mark) > 0
-                edges = np.flatnonzero(hit[1:] != hit[:-1])
+                edges = []
+                if found:
+                    mark = np.zeros(len(w) + 2, np.int64)
+                    for a, n in found:
+                        mark[a + 1] += 1
+                        mark[a + n + 1] -= 1
+                    hit = np.cumsum(mark) > 0
+                    edges = np.flatnonzero(hit[1:] != hit[:-1]).tolist()
                 keep.append(i)
                 n_words.append(len(w))
-                runs.append(edges.tolist())
+                runs.append(edges)
                 items.append(sorted(whose, key=str))
             cols = [b["row_id"].take(pa.array(keep, pa.int64())), b["doc_id"].take(pa.array(keep, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64()))], names=["row_id", "doc_id", "n_words", "runs", "items"])
+            out = pa.RecordBatch.from_arrays([*cols, pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64()))], names=["row_id", "doc_id", "n_words", "runs", "items"])
+            if told:
+                yield from _summary([out])
+            else:
+                yield out
 
     return hits
 
@@ -137,7 +144,7 @@ def _told(n_words: int, runs: list[int], items: set) -> tuple[int, int, str]:
     return sum(z - a for a, z in zip(runs[::2], runs[1::2], strict=True)), len(names), hashlib.sha256(",".join(names).encode()).hexdigest()
 
 
-def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _summary(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         got = [_told(n, r, set(i)) for n, r, i in zip(b["n_words"].to_pylist(), b["runs"].to_pylist(), b["items"].to_pylist(), strict=True)]
         hit = [x[0] for x in got]
@@ -183,16 +190,16 @@ def contaminated_words(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    rows = docs.select(F.lit(0).cast("long").alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts(docs).select(F.lit(0).cast("long").alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "row_id long, doc_id long, n_words long, runs array<long>, items array<long>"
     told = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, runs array<long>"
     blocks = [spark.sparkContext.broadcast(Windows(b)) for b in _item_blocks(items)] or [spark.sparkContext.broadcast(Windows([]))]
     if len(blocks) == 1:
-        return rows.mapInArrow(_hits(blocks[0], True), schema).mapInArrow(_summary, told)
+        return rows.mapInArrow(_hits(blocks[0], True, True), told)
     rows = rows.withColumn("row_id", F.xxhash64("doc_id", "text"))  # equal rows have equal hits, and each counts
-    found = rows.mapInArrow(_hits(blocks[0], True), schema).withColumn("n", F.lit(1))
+    found = rows.mapInArrow(_hits(blocks[0], True, False), schema).withColumn("n", F.lit(1))
     for w in blocks[1:]:
-        found = found.unionByName(rows.mapInArrow(_hits(w, False), schema).withColumn("n", F.lit(0)))
+        found = found.unionByName(rows.mapInArrow(_hits(w, False, False), schema).withColumn("n", F.lit(0)))
     merge = F.udf(_merged, "array<long>")
     each = found.groupBy("row_id", "doc_id").agg(F.max("n_words").alias("n_words"), merge(F.collect_set("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.sum("n").cast("int").alias("n"))
     return each.withColumn("n", F.explode(F.sequence(F.lit(1), "n"))).drop("n").mapInArrow(_summary, told)

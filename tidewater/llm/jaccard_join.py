@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import WordHash, bit_prefilter, drop_path, grams, hot_split_join, mix, once_of, row_key, runs, sliced, table, utf8, without_keys, word_hash, written
+from tidewater.llm.common import WordHash, bit_prefilter, drop_path, grams, hot_split_join, mix, once_of, row_key, runs, sliced, table, texts, utf8, without_keys, word_hash, written
 from tidewater.llm.components import connected_components
 
 WORDS = 5
@@ -295,7 +295,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     there; without a doc_id, a row belongs to the rows of its own set only. Other columns are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profiles, profiles_path = written(rows.withColumn("key", row_key()).mapInArrow(_profiles, "doc_id long, key long, n long, sig long, chunk int, counts binary"), "profiles")
     levels = spark.sparkContext.broadcast(_sketch(profiles))
     own = profiles.where("chunk is null").select("doc_id", "key", "n", "sig")

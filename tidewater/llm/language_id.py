@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import hash_sample, held_out, kept, mix, sliced, table
+from tidewater.llm.common import hash_sample, held_out, kept, mix, sliced, table, texts
 
 ORDER = 4
 #: Documents of each language that the models are fitted on: the bound on the training sample.
@@ -232,7 +232,7 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> KneserNe
 
     The temperature of the scores and the rejection thresholds are set on the same documents.
     """
-    rows = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
+    rows = texts(docs).where(~held_out() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
@@ -279,7 +279,7 @@ def identify(docs: DataFrame, model: KneserNey | None) -> DataFrame:
     """doc_id, lang_pred, score (the chosen language's share at the fitted temperature), cross_entropy and rejected
     (above the language's threshold). Null texts and those without a letter are `und`, score 0; so is everything
     without a model. Ties go to the first language by name. Rows that repeat and null doc_ids stay."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import sliced, table, utf8
+from tidewater.llm.common import sliced, table, texts, utf8
 from tidewater.llm.flac import decode_each, encode_each, pcm
 
 #: A payload is padded with zero bytes to a positive multiple of this.
@@ -34,7 +34,7 @@ def store_texts(docs: DataFrame, text: str = "text") -> DataFrame:
             media = encode_each([np.frombuffer(p, np.uint8).astype(np.int16) - 128 for p in padded])
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(store, "doc_id long, n_bytes long, media binary")
 
 

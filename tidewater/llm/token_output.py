@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import new_path, sliced, table, utf8
+from tidewater.llm.common import new_path, sliced, table, texts, utf8
 from tidewater.llm.tokens import TOKENIZER, token_bytes
 
 SCHEMA = "part int, row long, doc_id long, local_start long, n_tokens long, ids array<int>"
@@ -37,7 +37,7 @@ def write_orc(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: in
             )
             row, start = row + len(n), start + int(ends[-1])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     (
         ordered.mapInArrow(encode, SCHEMA).write.option("orc.compress", "LZ4").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", 0.01)

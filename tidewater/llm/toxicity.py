@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import drop_path, grams, hash_sample, held_out, kept, sliced, table, utf8, word_hash, written
+from tidewater.llm.common import drop_path, grams, hash_sample, held_out, kept, sliced, table, texts, utf8, word_hash, written
 
 #: Labelled documents of each class that lexicon and model are fitted on: the bound on the training sample.
 DOCS_PER_CLASS = 4000
@@ -210,7 +210,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> tuple[DataFrame,
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     some = hash_sample(known, "toxic", "doc_id", most, counts).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    rows = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     # about 2 * most rows, whatever the number of labels
     found = rows.join(F.broadcast(some), "doc_id").select("toxic", "text").mapInArrow(_keyed, "toxic int, text string, copy long")
     return found.dropDuplicates(["toxic", "copy"]).select("toxic", "text"), counts
@@ -298,7 +298,7 @@ def score_rows(rows: DataFrame, model: Grammar) -> DataFrame:
             got = _reader(known.value).texts([t or "" for t in b["text"].to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([s for _, s in got], pa.float64())], names=[*b.schema.names, "tox_score"])
 
-    return rows.mapInArrow(score, f"{schema}, tox_score double")
+    return texts(rows).mapInArrow(score, f"{schema}, tox_score double")
 
 
 def score_documents(docs: DataFrame, model: Grammar) -> DataFrame:
@@ -307,7 +307,7 @@ def score_documents(docs: DataFrame, model: Grammar) -> DataFrame:
     Null and empty texts score as texts without any match. Repeated rows keep a row each, null doc_ids stay; other
     columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
