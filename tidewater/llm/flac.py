@@ -320,7 +320,7 @@ def _subframes(bits: _Bits, pos: np.ndarray, sizes: np.ndarray, depth: np.ndarra
     most = max(1, int(order[r].max()))
     coef, shift = np.zeros((most, frames), np.int64), np.zeros(frames, np.int64)
     for o, cs in _FIXED.items():
-        for j, x in enumerate(cs):
+        for j, x in enumerate(cs[:most]):
             coef[j, (kind == 8 + o)] = x
     lp = np.flatnonzero(kind >= 32)
     if len(lp):
