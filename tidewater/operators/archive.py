@@ -71,14 +71,20 @@ def merge_records_in_order(topics: DataFrame, records: DataFrame, today: str, se
 
 
 def related(topics: DataFrame, least: int = 2, most: int = 5, boilerplate: tuple[str, ...] = (), key: str = "stem", tags: str = "tags") -> DataFrame:
-    """key, other, overlap, rank: topics that share at least `least` tags, the closest first.
+    """key, other, overlap, rank: topics that share at least `least` tags, the closest first, then by key.
 
-    A tag on very many topics would pair them all; as boilerplate it pairs none. The tag join is AQE's to split.
+    Topics with the same tags are as close to any other, so tag sets are paired and not topics: each set brings its
+    first most + 1 topics, which is all that a top list can need. Popular tags cost pairs of sets that have them.
     """
-    t = topics.select(key, F.explode(F.array_distinct(F.array_except(F.col(tags), F.array(*(F.lit(b) for b in boilerplate)).cast("array<string>")))).alias("tag"))
-    pairs = t.join(t.select(F.col(key).alias("other"), "tag"), "tag").where(F.col(key) != F.col("other")).groupBy(key, "other").agg(F.count(F.lit(1)).alias("overlap")).where(F.col("overlap") >= least)
+    own = F.array_sort(F.array_distinct(F.array_except(F.col(tags), F.array(*(F.lit(b) for b in boilerplate)).cast("array<string>"))))
+    t = topics.select(F.col(key), own.alias("set")).where(F.size("set") >= least)
+    heads = t.withColumn("__n", F.row_number().over(Window.partitionBy("set").orderBy(key))).where(F.col("__n") <= most + 1).select(F.col("set").alias("b"), F.col(key).alias("other"))
+    each = t.select("set").distinct().select("set", F.explode("set").alias("tag"))
+    pairs = each.select(F.col("set").alias("a"), "tag").join(each.select(F.col("set").alias("b"), "tag"), "tag").groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap")).where(F.col("overlap") >= least)
+    near = pairs.join(heads, "b").withColumn("__n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("overlap"), "other"))).where(F.col("__n") <= most + 1)
+    out = t.join(near.select(F.col("a").alias("set"), "other", "overlap"), "set").where(F.col(key) != F.col("other"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("overlap"), "other"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= most)
+    return out.select(key, "other", "overlap", rank.alias("rank")).where(F.col("rank") <= most)
 
 
 def tag_index(topics: DataFrame, least: int = 2, key: str = "stem", tags: str = "tags") -> DataFrame:
