@@ -17,7 +17,7 @@ NAME, PHONE, EMAIL, UUID, IBAN, LINK, GROUP = "[participant]", "[phone]", "[emai
 PLACEHOLDERS = (NAME, PHONE, EMAIL, UUID, IBAN, LINK, GROUP)
 
 # Shapes of identifiers, in Java's dialect with Unicode classes.
-EMAIL_RE = r"(?U)(?<![\w.+-])[\w.+-]+@[\w-]+\.[\w.-]+(?![\w.-])"
+EMAIL_RE = r"(?U)(?<![\w.+-])[\w.+-]++@[\w-]+\.[\w.-]+(?![\w.-])"
 UUID_RE = r"(?i)(?<![0-9a-f])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![0-9a-f])"
 UUID_COMPACT_RE = r"(?i)(?<![0-9a-zA-Z])[0-9a-f]{32}(?![0-9a-zA-Z])"
 IBAN_RE = r"\b[A-Z]{2}\d{2}(?:\s?[A-Z0-9]){11,30}\b"
@@ -30,6 +30,8 @@ BARE_PERSONAL_RE = rf"(?iU)(?<![\w@/.])(?:[\w-]+\.)*(?:{_HOSTS})/[^\s<>\"')]+"
 LOOSE_PHONE = r"(?<![\w+])(?:\+\d[\d\s().-]{6,17}\d|0\d[\d\s().-]{6,15}\d|\d{2,4}[\s().-]\d{2,4}[\s().-]\d{2,6})(?![\w])"
 BARE_DIGITS = r"(?<![\w+])(\d{10,15})(?![\w])"
 E164_RE = r"(?U)(?<![\w+])\+[1-9]\d{7,14}(?!\w)"
+#: Seven digits anywhere, the least that a phone number has.
+SEVEN_DIGITS = r"(?:[0-9][^0-9]*+){7}"
 SPEAKER_RE = r"\bParticipant\s+([A-Z]{1,3})\b"
 
 # Characters that render as nothing or reorder what is rendered.
@@ -38,6 +40,12 @@ INVISIBLE = [0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00AD, 0x034F, 0x180E, *ra
 SIMPLE_LAYERS = (("email", EMAIL_RE, EMAIL), ("uuid", UUID_RE, UUID), ("uuid-compact", UUID_COMPACT_RE, UUID), ("iban", IBAN_RE, IBAN))
 
 
+#: What a text holds where a layer can fire: looked at first, as most texts don't.
+NEEDS = {
+    "email": lambda t: F.contains(t, F.lit("@")), "uuid": lambda t: t.rlike("[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-"), "uuid-compact": lambda t: t.rlike("[0-9a-fA-F]{32}"), "iban": lambda t: t.rlike("[A-Z]{2}[0-9]{2}"),
+}
+
+
 def _fold(text: str) -> str:
     if text.isascii():
         return text
@@ -63,11 +71,21 @@ class Layers:
     """A text as it goes through layers, and the rules that fired: each layer sees what the one before left."""
 
     def __init__(self, text: Column):
-        self.text, self.fired = text, []
-
-    def replace(self, rule: str, pattern: str, by: str) -> "Layers":
-        self.fired.append(F.when(self.text.rlike(pattern), F.lit(rule)))
-        self.text = F.regexp_replace(self.text, pattern, by)
+        self.raw, self.text, self.fired = text, text, []
+
+    def replace(self, rule: str, pattern: str, by: str, needs=None) -> "Layers":
+        """needs: a cheap condition on the raw text without which the pattern can't match (no placeholder meets one).
+
+        Only the first layer replaces under its condition: a later one names the text once, or the expression would
+        double with each layer.
+        """
+        hit, new = self.text.rlike(pattern), F.regexp_replace(self.text, pattern, by)
+        if needs is not None:
+            hit = needs(self.raw) & hit
+            if not self.fired:
+                new = F.when(needs(self.raw), new).otherwise(self.text)
+        self.fired.append(F.when(hit, F.lit(rule)))
+        self.text = new
         return self
 
     def rules(self) -> Column:
@@ -77,8 +95,8 @@ class Layers:
 def redact_simple(text: Column) -> Layers:
     """E-mail, dashed and compact UUIDs, IBANs."""
     out = Layers(text)
-    for layer in SIMPLE_LAYERS:
-        out.replace(*layer)
+    for rule, pattern, by in SIMPLE_LAYERS:
+        out.replace(rule, pattern, by, NEEDS.get(rule))
     return out
 
 
@@ -113,12 +131,22 @@ def whole_word(text: str) -> str:
     return rf"(?iU)(?<!\w){literal(text)}(?!\w)"
 
 
+def may_hold(name: str):
+    """A cheap condition for whole_word on folded texts; none for a name beyond ASCII, whose cases are many."""
+    return (lambda t: F.contains(F.lower(t), F.lit(name.lower()))) if name.isascii() else None
+
+
+def has_word(text: Column, word: str) -> Column:
+    needs = may_hold(word)
+    return text.rlike(whole_word(word)) if needs is None else F.when(needs(text), text.rlike(whole_word(word))).otherwise(False)
+
+
 def redact_names(layers: Layers, group: str | None, names: Sequence[str]) -> Layers:
     """The group's name, then names longest first; a fired name is told by its place only."""
     if group:
-        layers.replace("group-name", whole_word(group), GROUP)
+        layers.replace("group-name", whole_word(group), GROUP, may_hold(group))
     for i, n in enumerate(sorted(names, key=lambda n: (-len(n), n))):
-        layers.replace(f"name-{i}", whole_word(n), NAME)
+        layers.replace(f"name-{i}", whole_word(n), NAME, may_hold(n))
     return layers
 
 
@@ -164,7 +192,7 @@ def redact_phones(layers: Layers, allow_subset: bool = False) -> Layers:
     """
     if not allow_subset:
         raise RuntimeError("phone redaction knows a subset of numbering plans only: pass allow_subset=True")
-    may = layers.text.rlike(r"(?s)\d.*\d.*\d.*\d.*\d.*\d.*\d")
+    may = layers.text.rlike(SEVEN_DIGITS)
     after = F.when(may, _phones_udf(F.when(may, layers.text))).otherwise(layers.text)
     layers.fired.append(F.when(after != layers.text, F.lit("phone")))
     layers.text = after

@@ -40,15 +40,16 @@ def violation(payload: Column, names: Sequence[str] = (), phones: Sequence[str]
     t = F.replace(T.fold_confusables(payload), F.lit("\\"), F.lit("/"))
     digits = F.regexp_replace(t, "[^0-9]", "")
     hit = lambda cs: reduce(lambda a, b: a | b, cs, F.lit(False))
+    shaped = lambda rule, p: F.when(T.NEEDS[rule](t), t.rlike(p)).otherwise(False)
     forms = [d for p in phones if len(d0 := "".join(c for c in p if c.isdigit())) >= 7 for d in dict.fromkeys((d0, d0[-7:]))]
     cases: list[tuple[str, Column]] = [("request-shape", has_forbidden_key(payload))] if shape else []
     cases += [
-        ("roster-name", hit(t.rlike(T.whole_word(n)) for n in names)), ("roster-phone", hit(F.contains(digits, F.lit(d)) for d in forms)),
-        ("group-name", t.rlike(T.whole_word(group)) if group else F.lit(False)), ("group-id", F.contains(t, F.lit(group_id)) if group_id else F.lit(False)),
-        ("uuid", t.rlike(T.UUID_RE)), ("uuid-compact", t.rlike(T.UUID_COMPACT_RE)), ("email", t.rlike(T.EMAIL_RE)), ("e164-phone", t.rlike(T.E164_RE)),
+        ("roster-name", hit(T.has_word(t, n) for n in names)), ("roster-phone", hit(F.contains(digits, F.lit(d)) for d in forms)),
+        ("group-name", T.has_word(t, group) if group else F.lit(False)), ("group-id", F.contains(t, F.lit(group_id)) if group_id else F.lit(False)),
+        ("uuid", shaped("uuid", T.UUID_RE)), ("uuid-compact", shaped("uuid-compact", T.UUID_COMPACT_RE)), ("email", shaped("email", T.EMAIL_RE)), ("e164-phone", F.when(F.contains(t, F.lit("+")), t.rlike(T.E164_RE)).otherwise(False)),
     ]
     if phone_rules:
-        may = t.rlike(r"(?s)\d.*\d.*\d.*\d.*\d.*\d.*\d")
+        may = t.rlike(T.SEVEN_DIGITS)
         found = _phones(F.when(may, t))
         cases += [("separated-phone", may & found["separated"]), ("bare-phone", may & found["bare"])]
     if labels is not None:

@@ -31,7 +31,7 @@ def redact_simple_by_source(spark, sf_dir):
 
 @_b.query(rf"select doc_id, regexp_replace(text, '{_EMAIL}', '[email]', 'g') as redacted from documents")
 def redact_email_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", T.EMAIL_RE, T.EMAIL).alias("redacted"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.contains("text", F.lit("@")), F.regexp_replace("text", T.EMAIL_RE, T.EMAIL)).otherwise(F.col("text")).alias("redacted"))
 
 
 _HOST = r"regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/]*)', 1)), '^www\.', '')"
