@@ -57,7 +57,7 @@ def test_group_id_spellings(spark):
     raw = bytes(range(32))
     import base64
 
-    for s in (base64.b64encode(raw).decode(), base64.b64encode(raw).decode().rstrip("="), raw.hex(), "__signal_group__v2__!" + raw.hex(), raw.hex().upper()):
+    for s in (base64.b64encode(raw).decode(), base64.b64encode(raw).decode().rstrip("="), raw.hex(), "__chat_group__v2__!" + raw.hex(), raw.hex().upper()):
         assert bytes(one(spark, identity.group_id(F.col("t")), t=s)) == raw
 
 
