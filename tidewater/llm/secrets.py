@@ -19,6 +19,19 @@ from tidewater.llm.native_spans import found_spans, has_hits, listed, span_rows
 _ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]++)"
 
 
+_PEM = "(?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----"
+#: Between the runs of a body: line ends, escapes, quotes, comment signs.
+_GAP = r"[^A-Za-z0-9+/=]{0,64}+"
+#: A private key from its header to its END line, which comes before any other header. Where that is missing: to the end
+#: of what can be its body, that is fields, long runs, lines of one run, and one shorter run after them. A header that
+#: no body follows is a mention, and what prose follows is no part of a key.
+_PRIVATE_KEY = (
+    rf"-----BEGIN {_PEM}(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END {_PEM}"
+    rf"|(?:{_GAP}(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+(?:{_GAP}[A-Za-z0-9+/=]{{16,}}+|[\x20\t]*+[\r\n]\s*+[A-Za-z0-9+/=]++(?=\s*+\z|[\x20\t]*+[\r\n]))++"
+    r"(?:(?:\s|\\[nr]|[\"'])++[A-Za-z0-9+/]{1,15}+={0,2}+)?+)"
+)
+
+
 def _has(*parts: str):
     return lambda: reduce(and_, (F.col("text").contains(x) for x in parts))
 
@@ -39,7 +52,7 @@ KINDS = [
     ("google", r"(?<![A-Za-z0-9_-])AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])", _has("AIza")),
     ("stripe", r"(?<![A-Za-z0-9_])[rs]k_live_[A-Za-z0-9]{16,}+", _has("k_live_")),
     ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{16,}+", _has("eyJ")),
-    ("private_key", r"-----BEGIN (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----", _has("PRIVATE KEY-----")),
+    ("private_key", _PRIVATE_KEY, _has("-----BEGIN ", "PRIVATE KEY-----")),
 ]
 BASE = 3
 #: Distinct owners up to which a value counts as specific to them.
@@ -65,7 +78,10 @@ def scan(docs: DataFrame, repository: str = "source", owner: str = "source", mos
     spans = span_rows(found, KINDS, keep)
     secret = F.when(F.col("kind") == "assign", F.regexp_extract("value", _ASSIGN, 2)).otherwise(F.col("value"))
     spans = spans.withColumn("secret", secret).where((F.col("kind") != "assign") | (F.length("secret") >= 8))
-    spans = spans.withColumn("secret_start", F.col("end") - F.length("secret")).withColumn("hash", F.xxhash64("secret", F.length("secret")))
+    # a private key is known by its body, however its lines are broken
+    is_key = F.col("kind") == "private_key"
+    body = F.when(is_key, F.regexp_replace(F.regexp_replace("secret", rf"-----(?:BEGIN|END) {_PEM}|\\[nr]", ""), "[^A-Za-z0-9+/=]", "")).otherwise(F.col("secret"))
+    spans = spans.withColumn("secret_start", F.col("end") - F.length("secret")).withColumn("body", body).withColumn("hash", F.xxhash64("body", F.length("body")))
     # one row for each holder first, so that a value in a third of all documents comes to few rows
     holders = spans.groupBy("hash", "__repo", "__owner").agg(F.count(F.lit(1)).alias("n"))
     by_owner = holders.groupBy("hash", "__owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("n").alias("n"))
@@ -73,9 +89,11 @@ def scan(docs: DataFrame, repository: str = "source", owner: str = "source", mos
     owners = by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("uses"))
     total = found.where(has_hits(KINDS)).count()
     spans = hot_split_join(spans, owners.join(repos, "hash"), ["hash"], "uses", total)
-    kinds = F.size(F.array_distinct(F.split("secret", "")))
-    verdict = F.when((F.col("owners") > most_owners) | F.col("secret").rlike(_EXAMPLE), "example").when((kinds < 6) & (F.col("kind") != "private_key"), "weak").otherwise("live")
-    return found, spans.withColumn("verdict", verdict).drop("__repo", "__owner", "uses", "hash"), path
+    kinds = F.size(F.array_distinct(F.split("body", "")))
+    # in a key's long runs such words stand by chance
+    words = F.when(is_key, F.regexp_replace("secret", "[A-Za-z0-9+/=]{16,}", "")).otherwise(F.col("secret"))
+    verdict = F.when((F.col("owners") > most_owners) | words.rlike(_EXAMPLE), "example").when(kinds < 6, "weak").otherwise("live")
+    return found, spans.withColumn("verdict", verdict).drop("__repo", "__owner", "uses", "hash", "body"), path
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
