@@ -405,6 +405,20 @@ def test_grammar():
     assert kinds("") == {}
 
 
+def test_reader_equals_grammar():
+    g = toxicity.Grammar({"idiot": 5.0, "d'oh": 3.0, "d’oh": 3.0}, {"stup": 4.0})
+    g.model = ([1.0] * len(toxicity.KINDS), -1.0)
+    joints = ["—", "–", "…", "\xa0", "\u2003", "\u3000", "“", "’", "'", "''", "´", "·", "²", "\u0301", "-", "_", "7", " ", ". ", "\n", "\ud800", "ß", "漢"]
+    rng = random.Random(22)
+    texts = [f"wow{j}{w}{k}so" for j in joints for k in joints for w in ("idiot", "You stupid", "they kill", "d'oh", "D’OH")]
+    texts += ["".join(rng.choice(["idiot", "STUPID", "you", "kill", "d", "oh", "plain", *joints]) for _ in range(rng.randint(0, 9))) for _ in range(3000)]
+    texts += ["漢—" * 3000 + "idiot", "漢—" * 3000]
+    reader = toxicity.Reader(g)
+    for _ in range(2):  # the second time from the memo
+        assert reader.texts(texts) == [(x, g.score(x)) for x in map(g.sums, texts)]
+    assert reader.texts(["wow—idiot", "you\xa0idiot", "oh d'oh"])[1][0][toxicity.AIMED - 1] == 5.0 and max(map(len, reader.clean)) <= toxicity.MEMO_BYTES
+
+
 def test_toxicity(spark):
     rng = random.Random(12)
     texts = [words(rng, 30) + (" idiot " + words(rng, 4) + " vequaire" if i % 4 == 0 else "") + " " + words(rng, 10) for i in range(400)]

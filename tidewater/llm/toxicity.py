@@ -29,7 +29,8 @@ DOCS_PER_CLASS = 4000
 STEMS = (4, 5, 6, 7)
 #: Least log-odds of a learnt entry, and least share of the toxic sample that has it.
 LEAST_ODDS, LEAST_SHARE, LEAST_DOCS = 4.0, 0.01, 4
-MEMO_WORDS = 250_000
+#: Runs that the reader's memo holds, and the length of one; a longer one is looked at each time.
+MEMO_WORDS, MEMO_BYTES = 250_000, 64
 
 # Categories of words.
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
@@ -153,7 +154,8 @@ class Grammar:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-_LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
+#: ASCII letters, apostrophes and all that isn't ASCII stay.
+_LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 or c == 39 else 32 for c in range(256))
 
 
 class Reader:
@@ -172,9 +174,11 @@ class Reader:
             words -= self.clean
             hit = False
             for w in words:
-                if look(w.decode("utf-8", "replace"))[0] in (INSULT, THREAT) or (w[0] >= 128 or w[-1] >= 128) and not w.decode("utf-8", "replace").isalpha():
+                # a run that is no word by itself is split as the machine does
+                v = w.decode("utf-8", "replace")
+                if any(look(x)[0] in (INSULT, THREAT) for x in ([v] if v.isalpha() else _TOKEN.findall(v))):
                     hit = True
-                else:
+                elif len(w) <= MEMO_BYTES:
                     self.clean.add(w)
             if len(self.clean) > MEMO_WORDS:
                 self.clean = set()
