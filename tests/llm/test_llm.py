@@ -490,6 +490,25 @@ def test_main_text(spark):
     assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got.collect())[0] == (0, 1) and got.count() == len(rows) and got.where("page_id = 7").first()["text"] == ""
 
 
+@pytest.mark.parametrize("start", ["<form id=aspnetForm action=x>", "<div class='content has-sidebar'>", "<div class='no-sidebar'>", "<div class=with-comments>", "<div class=modal-page>", "<div class=modal>", "<div id=overlay role=dialog>", "<div role=main class='popup'><form>"])
+@pytest.mark.parametrize("around", ["", "article", "main"])
+def test_main_text_in_a_cut_wrapper(start, around):
+    body = "<h1>Head</h1>" + "".join(f"<p>Paragraph {i} of the body, with words enough.</p>" for i in range(9))
+    wanted = " ".join(["Head", *(f"Paragraph {i} of the body, with words enough." for i in range(9))])
+    body = f"<{around}>{body}</{around}>" if around else body
+    rest = "<nav><a href=/>Home</a> and more</nav><div class='cookie-notice'>We use cookies</div>"
+    page = f"<html><body>{start}{rest}<div>{body}</div><div class='related-posts'>Others wrote this</div><footer>Site</footer></body></html>"
+    assert html_text.main_text(page) == wanted
+    if around:  # inside of the article, too
+        assert html_text.main_text(f"<body><{around}>{start}{body}</div></form></{around}>{rest}</body>") == wanted
+
+
+def test_main_text_without_long_boilerplate():
+    text = "<p>" + "An article of some words. " * 10 + "</p>"
+    for more in ("<div class=consent>" + "We value your privacy. " * 90 + "</div>", "<div hidden><article>" + "Nobody sees this one. " * 90 + "</article></div>", "<div class=comments><article>" + "I do not agree. " * 20 + "</article></div>", "<nav><article>Teaser</article></nav>"):
+        assert html_text.main_text(f"<body><article>{text}</article>{more}</body>") == ("An article of some words. " * 10).strip()
+
+
 # The pipeline
 
 

@@ -3,7 +3,8 @@
 Each DOM node's density is its characters per tag, lowered by the share of them in links; a node's sum is that of its
 children's densities, its own text counting as one. The node of the greatest sum is the heart of the page. The least
 density on the path from the body to it is the threshold; what stands beside that path and reaches it is content too,
-up to the article around it where there is one. Elements that are boilerplate by name or role are out beforehand.
+up to the article around it where there is one. Elements that are boilerplate by name or role are out beforehand, unless
+they wrap the page's text.
 """
 
 from __future__ import annotations
@@ -34,12 +35,16 @@ SCOPE = frozenset("html body table ul ol dl div article section main aside nav h
 #: Never part of an article; header and the like only outside one.
 OUT = frozenset("nav footer aside form menu dialog button head".split())
 OUT_BEFORE_ARTICLE = frozenset(["header"])
-OUT_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side-?bar|rail|nav\w*|menu|breadcrumbs?|pagination|pager|footer|masthead|site-?header|page-?header|cookies?\w*|consent|gdpr|notice|"
-    r"notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|social|share|sharing|related|recommend\w*|trending|popular|comments?|commentlist|disqus|respond|replies|widget|toolbar|"
-    r"copyright|legal|disclaimer|hidden|skip-?link|tags?-?list)(?=$|[\s_-])",
-    re.IGNORECASE,
+#: Names of boilerplate in a class or id. A token of them counts as a whole only: each of its parts is a name, a word that
+#: says where one is (before it) or what of it this is (after it). So `has-sidebar` and `modal-page` are none.
+_NAME = (
+    r"(?:ads?|advert[a-z0-9]*|adsense|sponsor[a-z0-9]*|promo[a-z0-9]*|banner|sidebar|side-?bar|rail|nav[a-z0-9]*|menu|breadcrumbs?|pagination|pager|footer|masthead|site-?header|page-?header|cookies?[a-z0-9]*|consent|gdpr|notice|"
+    r"notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|social|share|sharing|related|recommend[a-z0-9]*|trending|popular|comments?|commentlist|disqus|respond|replies|widget|toolbar|"
+    r"copyright|legal|disclaimer|hidden|skip-?link|tags?-?list)"
 )
+_WHERE = r"(?:site|page|main|global|primary|secondary|top|bottom|left|right|header|post|article|entry|blog|mobile|desktop|sticky|fixed|floating)"
+_WHAT = r"(?:lists?|items?|box|bars?|links?|posts?|articles?|stories|sections?|area|block|container|wrapper|wrap|inner|buttons?|btn|icons?|form|left|right|top|bottom|primary|secondary|\d+)"
+OUT_NAMES = re.compile(rf"(?:^|\s)(?:{_WHERE}[_-]+)*{_NAME}(?:[_-]+(?:{_NAME}|{_WHAT}))*(?=$|\s)", re.IGNORECASE)
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 _TOKEN = re.compile(
@@ -50,25 +55,31 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 
 
-def _is_out(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in OUT or not in_article and tag in OUT_BEFORE_ARTICLE:
-        return True
+#: Letters without links that an article has at least, for what is beside it to be no main text by its length.
+PARAGRAPH = 200
+# Why an element is out: by tag, by another name, or as nobody sees it.
+BY_TAG, BY_NAME, UNSEEN = 1, 2, 3
+
+
+def _cut(tag: str, attrs: str, in_article: bool) -> int:
+    """Why the element is out, 0 if it isn't."""
+    by = BY_NAME if tag == "form" else BY_TAG if tag in OUT or not in_article and tag in OUT_BEFORE_ARTICLE else 0
     if tag in ("html", "body", "article", "main") or not attrs:
-        return False
+        return by
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and OUT_NAMES.search(value) or name == "role" and value.lower() in OUT_ROLES:
-            return True
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+            return UNSEEN
+        if name in ("class", "id") and OUT_NAMES.search(value) or name == "role" and value.lower() in OUT_ROLES:
+            by = by or BY_NAME
+    return by
 
 
 class Dom:
     """Nodes in document order: parent, tag, the end of the subtree, and the pieces of text with their nodes."""
 
     def __init__(self, page: str):
-        self.parent, self.tag, self.end, self.out = [-1], ["#root"], [0], [False]
+        self.parent, self.tag, self.end, cut = [-1], ["#root"], [0], [0]
         self.pieces: list[tuple[int, str]] = []
         stack, open_, articles = [0], Counter(), 0
         at = 0
@@ -109,7 +120,7 @@ class Dom:
             self.parent.append(stack[-1])
             self.tag.append(tag)
             self.end.append(n + 1)
-            self.out.append(self.out[stack[-1]] or _is_out(tag, attrs, articles > 0))
+            cut.append(_cut(tag, attrs, articles > 0))
             if tag not in VOID and not attrs.endswith("/"):
                 stack.append(n)
                 open_[tag] += 1
@@ -117,6 +128,44 @@ class Dom:
         if at < len(page):
             self.pieces.append((stack[-1], page[at:]))
         close(0)
+        self.out = self._out(cut)
+
+    def _out(self, cut: list[int]) -> list[bool]:
+        """Whether a node is out. What wraps the page's text stays in: by its article or main, or by its share of the text.
+
+        An article or main counts if it is more than twice as long as any that isn't cut, and more than half of all text
+        that isn't. The share counts for forms and names where no article of a paragraph's length stands: more than
+        half of the page, and more than twice what isn't cut. Letters in links or unseen don't count.
+        """
+        n, parent, tag = len(self.tag), self.parent, self.tag
+        out = [False] * n
+        for i in range(1, n):
+            out[i] = out[parent[i]] or cut[i] > 0
+        if not (BY_TAG in cut or BY_NAME in cut):
+            return out
+        no = [False] * n
+        for i in range(1, n):
+            no[i] = no[parent[i]] or tag[i] == "a" or cut[i] == UNSEEN
+        chars, standing = [0] * n, [0] * n
+        for i, s in self.pieces:
+            if not no[i]:
+                c = len("".join(s.split()))
+                chars[i] += c
+                standing[i] += 0 if out[i] else c
+        longest = [0] * n
+        for i in range(n - 1, 0, -1):
+            p = parent[i]
+            chars[p] += chars[i]
+            standing[p] += standing[i]
+            if tag[i] in ("article", "main"):
+                longest[i] = max(longest[i], chars[i])
+            longest[p] = max(longest[p], longest[i])
+        article = max((standing[i] for i in range(n) if tag[i] in ("article", "main") and not out[i]), default=0)
+        for i in range(1, n):
+            wraps = longest[i] > 2 * article and 2 * longest[i] > standing[0]
+            mostly = cut[i] == BY_NAME and article < PARAGRAPH and 2 * chars[i] > chars[0] and chars[i] > 2 * standing[0]
+            out[i] = out[parent[i]] or cut[i] == UNSEEN or cut[i] > 0 and not wraps and not mostly
+        return out
 
 
 def main_text(page: str) -> str:
