@@ -434,6 +434,19 @@ def test_toxicity(spark):
     assert toxicity.score_rows(d, model).columns == [*d.columns, "tox_score"]
 
 
+def test_toxicity_of_a_small_group(spark):
+    """An insult in under 1 % of the toxic documents and no others is learnt."""
+    rng = random.Random(23)
+    insult = lambda i: " vequaire" if i % 125 == 0 else " idiot"
+    texts = [words(rng, 20) + (insult(i) if i < 4500 else "") + " " + words(rng, 10) for i in range(9000)]
+    d = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, 0, int(i < 4500)) for i in range(9000)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(d, labels)
+    assert all(any(x.startswith(s) for s in (*model.words, *model.stems)) for x in ("vequaire", "idiot"))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_documents(d, model).collect()}
+    assert all(got[i] == int(i < 4500) for i in range(9000))
+
+
 # Language
 
 

@@ -27,8 +27,8 @@ from tidewater.llm.common import drop_path, grams, hash_sample, held_out, kept,
 DOCS_PER_CLASS = 4000
 #: Lengths of word beginnings that the lexicon may learn.
 STEMS = (4, 5, 6, 7)
-#: Least log-odds of a learnt entry, and least share of the toxic sample that has it.
-LEAST_ODDS, LEAST_SHARE, LEAST_DOCS = 4.0, 0.01, 4
+#: Least log-odds of a learnt entry, and least number of documents of the toxic sample that have it.
+LEAST_ODDS, LEAST_DOCS = 4.0, 4
 #: Runs that the reader's memo holds, and the length of one; a longer one is looked at each time.
 MEMO_WORDS, MEMO_BYTES = 250_000, 64
 
@@ -244,11 +244,10 @@ def fit(docs: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CLASS
     n = {r["toxic"]: r["count"] for r in some.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return Grammar({}, {})
-    least = max(LEAST_DOCS, LEAST_SHARE * n[1])
     sums = some.mapInArrow(_features, "feature string, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1.0)) - F.log((F.col("other") + 0.5) / (n[0] + 1.0))
-    # each found feature is in a share of the toxic sample's documents: a bounded list
-    found = {r["feature"]: r["w"] for r in sums.withColumn("w", odds).where((F.col("toxic") >= least) & (F.col("w") >= LEAST_ODDS)).select("feature", "w").collect()}
+    # of the bounded sample's words: a bounded list
+    found = {r["feature"]: r["w"] for r in sums.withColumn("w", odds).where((F.col("toxic") >= LEAST_DOCS) & (F.col("w") >= LEAST_ODDS)).select("feature", "w").collect()}
     stems: dict[str, float] = {}
     for s in sorted((f[:-1] for f in found if f.endswith("-")), key=len):
         if not any(s[:k] in stems for k in STEMS):
