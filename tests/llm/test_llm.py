@@ -176,6 +176,19 @@ def test_pack(spark):
 # Similar documents
 
 
+def test_pack_goes_on_while_it_gains(spark):
+    rng = random.Random(5)
+    lengths = [rng.randint(26, 74) for _ in range(2000)]
+    pieces = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(pieces, 100, 32).collect()
+    assert sorted(r["length"] for r in got) == sorted(lengths) and len({r["doc_id"] for r in got}) == 2000
+    fills = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == fills.get(r["sequence_id"], 0)
+        fills[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(fills.values()) <= 100 and max(fills) >> 56 >= packing.LEAST_ROUNDS and len(fills) <= 1011  # 1012 after six rounds
+
+
 def plain_components(rows):
     sets = {}
     for i, t in rows:

@@ -2,7 +2,8 @@
 
 Each partition packs its own pieces and compares its number of bins with a lower bound. What is left open - the bins
 with much free space, and all bins of partitions above their bound that aren't full - is exchanged: those pieces are
-dealt out again over fewer partitions and packed again, until one partition holds them all or nothing is open.
+dealt out again and packed again, until one partition holds them all, nothing is open, or, from the sixth
+round on, one lowers neither the bins nor the open pieces by LEAST_GAIN.
 """
 
 from __future__ import annotations
@@ -22,7 +23,10 @@ from tidewater.llm.tokens import TOKENIZER, token_bytes
 CAPACITY = 4096
 #: Pieces that one partition packs.
 GROUP_PIECES = 16_384
-ROUNDS = 6
+#: Rounds that are made whatever they gain, and those that the sequence ids have room for.
+LEAST_ROUNDS, ROUNDS = 6, 127
+#: The share of its bins or of its open pieces that a round has to save or close for another one to follow.
+LEAST_GAIN = 0.001
 #: A bin filled to less than this share takes part in the exchange.
 CLOSED = 0.97
 
@@ -109,7 +113,7 @@ def _packer(capacity: int, last: bool):
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """The pieces (of PIECES, lengths from 1 to the capacity) with sequence_id, offset, and whether their partition's bin count is certified."""
     table_, _ = written(pieces, "pieces")
-    n = table_.count()
+    n = n_bins = table_.count()
     todo = table_.withColumn("__bin", F.xxhash64("doc_id", "piece", "start", "ids_crc32"))
     done: list[DataFrame] = []
     for r in range(ROUNDS):
@@ -119,10 +123,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
         dealt = todo.withColumn("grp", F.pmod(F.xxhash64("__bin", F.lit(r)), F.lit(groups)))
         rows, _ = written(dealt.groupBy("grp").applyInPandas(_packer(capacity, last), PACKED), "packed")
         seq = F.lit(r << 56) + (F.col("grp") * (1 << 24)) + F.col("bin")
-        done.append(rows.where(~F.col("open")).withColumn("sequence_id", seq))
-        todo = rows.where("open").select("doc_id", "piece", "start", "length", "ids_crc32", seq.alias("__bin"), F.col("offset").alias("__offset"))
-        if last or not (n := todo.count()):
+        rows = rows.withColumn("sequence_id", seq)
+        if not last:  # each bin has one piece at 0
+            first = F.col("offset") == 0
+            now = rows.agg(F.count_if("open").alias("n"), F.count_if(first & F.col("open")).alias("open_bins"), F.count_if(first).alias("bins")).first()
+            last = not now["n"] or r + 1 >= LEAST_ROUNDS and now["bins"] > (1 - LEAST_GAIN) * n_bins and now["n"] > (1 - LEAST_GAIN) * n
+            n, n_bins = now["n"], now["open_bins"]
+        if last:  # what is still open stays as it is
+            done.append(rows)
             break
+        done.append(rows.where(~F.col("open")))
+        todo = rows.where("open").select("doc_id", "piece", "start", "length", "ids_crc32", F.col("sequence_id").alias("__bin"), F.col("offset").alias("__offset"))
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
