@@ -402,6 +402,14 @@ def test_private_keys(spark):
     assert all(masked[i] == texts[i] for i in (16, 17, 18))  # mentions alone, and a run of few characters
 
 
+def test_repositories_take_part_in_the_verdict(spark):
+    live, copied = "Zx81kQp0Lm2Vn7", "Qw34rTy9Ui0Op1"
+    rows = [(i, f"token={copied} {i}", f"r{i}", "o") for i in range(21)] + [(100 + i, f"token={live} {i}", f"r{i % 20}", "o") for i in range(40)]
+    _, spans, _ = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, repo string, source string"), repository="repo")
+    got = {(r["secret"], r["verdict"], r["repositories"], r["owners"]) for r in spans.collect()}
+    assert got == {(copied, "example", 21, 1), (live, "live", 20, 1)}
+
+
 def test_native_plans_have_no_python(spark):
     for df in (pii.personal_report(docs_of(spark, ["a@b.cd"])), secrets.secret_report(docs_of(spark, ["token=abcdefgh12"]))):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())

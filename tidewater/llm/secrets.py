@@ -57,16 +57,18 @@ KINDS = [
 BASE = 3
 #: Distinct owners up to which a value counts as specific to them.
 MOST_OWNERS = 2
+#: Distinct repositories up to which it does, where they are a column of their own.
+MOST_REPOSITORIES = 20
 #: Words that mark a placeholder.
 _EXAMPLE = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]?|xxxx|test|0123456789|123456789|abcdefgh"
 
 
-def scan(docs: DataFrame, repository: str = "source", owner: str = "source", most_owners: int = MOST_OWNERS) -> tuple[DataFrame, DataFrame, str]:
+def scan(docs: DataFrame, repository: str = "source", owner: str = "source", most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> tuple[DataFrame, DataFrame, str]:
     """The scanned rows (rid, doc_id, key), the spans with ownership, and the path both are read from.
 
     spans: rid, doc_id, key, kind, ord, start, end (of the whole match), secret (the part to hide starts at
-    secret_start), repositories, owners, verdict: example (held by more than most_owners owners, or a placeholder),
-    weak (few kinds of characters) or live. A null repository or owner counts as one of its own. key is a hash of
+    secret_start), repositories, owners, verdict: example (held by more than most_owners owners or, where they are
+    another column, most_repositories repositories, or a placeholder), weak (few kinds of characters) or live. All null repositories or owners are one. key is a hash of
     doc_id and text, the same for repeated rows.
     """
     rows = docs.select(
@@ -92,7 +94,7 @@ def scan(docs: DataFrame, repository: str = "source", owner: str = "source", mos
     kinds = F.size(F.array_distinct(F.split("body", "")))
     # in a key's long runs such words stand by chance
     words = F.when(is_key, F.regexp_replace("secret", "[A-Za-z0-9+/=]{16,}", "")).otherwise(F.col("secret"))
-    verdict = F.when((F.col("owners") > most_owners) | words.rlike(_EXAMPLE), "example").when(kinds < 6, "weak").otherwise("live")
+    verdict = F.when((F.col("owners") > most_owners) | F.lit(repository != owner) & (F.col("repositories") > most_repositories) | words.rlike(_EXAMPLE), "example").when(kinds < 6, "weak").otherwise("live")
     return found, spans.withColumn("verdict", verdict).drop("__repo", "__owner", "uses", "hash", "body"), path
 
 
