@@ -537,6 +537,126 @@ def test_main_text_in_a_cut_wrapper(start, around):
         assert html_text.main_text(f"<body><{around}>{start}{body}</div></form></{around}>{rest}</body>") == wanted
 
 
+def plain_density(page):
+    """Weighted density and sum of each element of a well-formed page by plain recursion, in document order."""
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.root = {"tag": "#root", "w": 1.0, "kids": [], "own": 0}
+            self.stack = [self.root]
+
+        def handle_starttag(self, tag, attrs):
+            names = dict(attrs).get("class", "")
+            w = html_text.NAMED if tag in html_text.OUT_TAGS or "sidebar" in names else html_text.MAYBE if "legal" in names else 1.0
+            node = {"tag": tag, "w": w, "kids": [], "own": 0}
+            self.stack[-1]["kids"].append(node)
+            self.stack.append(node)
+
+        def handle_endtag(self, tag):
+            self.stack.pop()
+
+        def handle_data(self, data):
+            self.stack[-1]["own"] += len("".join(data.split()))
+
+    tree = Tree()
+    tree.feed(page)
+    out = []
+
+    def counts(n, in_link=False):  # characters, those in links, tags, links, each at its weight; and the plain first two
+        link = in_link or n["tag"] == "a"
+        got = [n["own"], n["own"] * link, 0.0, 0.0, n["own"], n["own"] * link]
+        n["link"] = link
+        for k in n["kids"]:
+            c = counts(k, link)
+            w = k["w"]
+            got = [got[0] + w * c[0], got[1] + w * c[1], got[2] + w * (c[2] + 1), got[3] + w * (c[3] + (k["tag"] == "a")), got[4] + c[4], got[5] + c[5]]
+        n["c"] = got
+        return got
+
+    counts(tree.root)
+    body = tree.root["kids"][0]
+    share = body["c"][5] / body["c"][4]
+
+    def density(n, w):
+        c, lc, t, lt = n["c"][:4]
+        if not n["c"][4]:
+            return 0.0
+        t, l1, lt = max(1, t), max(1, lc), max(1, lt)
+        return w * max(0.0, c / t * np.log(max(1, c * t / (l1 * lt)) + 1) / np.log(c * lc / max(1, c - lc) + share * c + np.e))
+
+    def walk(n, w):
+        own = 0.0 if n["link"] else w * n["own"] * np.log(n["own"] + 1) / np.log(share * n["own"] + np.e)
+        out.append((density(n, w), own + sum(density(k, w * k["w"]) for k in n["kids"])))
+        for k in n["kids"]:
+            walk(k, w * k["w"])
+
+    walk(tree.root, 1.0)
+    return out
+
+
+def random_page(rng):
+    def node(depth):
+        tag = rng.choice(["div", "section", "p", "a", "b", "ul", "nav", "aside", "blockquote"]) if depth else "body"
+        name = rng.choice(["", "", "", " class='sidebar'", " class='legal'", " class='text-body'"]) if depth else ""
+        inner = "".join(node(depth + 1) if depth < 5 and rng.random() < 0.5 else words(rng, rng.randint(1, 30)) for _ in range(rng.randint(1, 5)))
+        return f"<{tag}{name}>{inner}</{tag}>".replace("<p", "<h2").replace("</p", "</h2")  # a p would close by itself
+
+    return node(0)
+
+
+def test_densities_equal_plain_recursion():
+    rng = random.Random(24)
+    for _ in range(60):
+        page = random_page(rng)
+        density, sums, *_ = html_text._densities(html_text.Dom(page))
+        assert np.allclose(np.array([density, sums]).T, plain_density(page), rtol=1e-9)
+
+
+def article_of(rng, n, tag="div"):
+    """An article's markup and its text."""
+    parts = [("h1", words(rng, 6))] + [(rng.choice(["p", "p", "p", "h2", "blockquote", "ul"]), words(rng, rng.randint(2, 60))) for _ in range(n)] + [("p", words(rng, 40))]
+    made = "".join(f"<ul><li>{t}</li></ul>" if k == "ul" else f"<{k}>{t}</{k}>" for k, t in parts)
+    return f"<{tag} id=c7>{made}</{tag}>", " ".join(t for _, t in parts)
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div", "section", "td"])
+def test_main_text_is_found_whatever_the_tag(tag):
+    """By density alone: the same pages with any element around the article."""
+    rng = random.Random(25)
+    for k in range(60):
+        made, wanted = article_of(rng, rng.randint(1, 30), tag)
+        menu = "<nav><ul>" + "".join(f"<li><a href=/{i}>{words(rng, 2)}</a></li>" for i in range(rng.randint(2, 20))) + "</ul></nav>"
+        unnamed = "<div>" + "".join(f"<a href=/{i}>{words(rng, 3)}</a> " for i in range(rng.randint(2, 9))) + "</div>"
+        note = rng.choice(["<div class=ad>{}</div>", "<div id='cookie-notice'><p>{}</p></div>", "<aside>{}</aside>", "<section class='comments'><p>{}</p></section>", "<form><p>{}</p></form>"]).format(words(rng, rng.randint(3, 30)))
+        page = f"<html><body>{menu}{note}{made}{unnamed}<footer><p>{words(rng, 12)}</p></footer></body></html>"
+        assert html_text.main_text(page) == wanted, (k, page)
+
+
+def test_main_text_drops_nothing_else():
+    text = "<p>" + "An article of some words, with a comma. " * 8 + "</p>"
+    wanted = ("An article of some words, with a comma. " * 8).strip()
+    links = "<div class=x><a href=1>Teaser one here</a><a href=2>Teaser two</a><a href=3>Teaser three is it</a></div>"
+    for tag in ("main", "article", "div"):
+        assert html_text.main_text(f"<body><{tag}><h1>T</h1>{text}{links}</{tag}></body>") == f"T {wanted}"
+        parts = "<section class='legal'><p>Legal words.</p></section><section id='related-work'><h2>Related</h2><p>Work by others.</p></section><p><a href=x>One link</a></p>"
+        assert html_text.main_text(f"<body><{tag}><h1>T</h1>{text}{parts}</{tag}></body>") == f"T {wanted} Legal words. Related Work by others. One link"
+        talk = f"<div class=comments><p>{'I disagree with this. ' * 30}</p></div><form>Send me</form>"
+        assert html_text.main_text(f"<body><{tag}><h1>T</h1><p>Short.</p>{talk}</{tag}></body>") == "T Short."
+    headed = f"<body><header><a href=/>Site</a></header><div><header><h1>T</h1><span>By me</span></header>{text}</div><footer>F</footer></body>"
+    assert html_text.main_text(headed) == f"T By me {wanted}"
+
+
+@pytest.mark.parametrize("page", ["<svg " * 60000, "<li><ul>" + "<b>" * 30000 + "<li></li>" * 30000, "<div>" * 60000 + "x", "<!--" * 60000, "<p>x" * 60000, "<a href='" * 60000, "<div style=" * 60000, "<script>" * 60000, "<p><html>" + "<b>" * 30000 + "<h1></h1>" * 30000], ids=range(9))
+def test_long_pages_take_linear_time(page):
+    import time
+
+    start = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - start < 10
+
+
 def test_main_text_without_long_boilerplate():
     text = "<p>" + "An article of some words. " * 10 + "</p>"
     for more in ("<div class=consent>" + "We value your privacy. " * 90 + "</div>", "<div hidden><article>" + "Nobody sees this one. " * 90 + "</article></div>", "<div class=comments><article>" + "I do not agree. " * 20 + "</article></div>", "<nav><article>Teaser</article></nav>"):
