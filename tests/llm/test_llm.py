@@ -322,7 +322,7 @@ SECRETS = {
 
 
 def plain_spans(kinds, text):
-    got = [(m.start(), k, f"{name}:{m.start()}:{m.end()}") for k, (name, (p, ok)) in enumerate(kinds.items()) for m in re.finditer(p, text) if ok(m)]
+    got = [(m.start(), k, f"{name}:{m.start()}:{m.end()}") for k, (name, (p, ok)) in enumerate(kinds.items()) if {"email": "@", "ip": "."}.get(name, "") in text for m in re.finditer(p, text) if ok(m)]
     return [sum(k == g[1] for g in got) for k in range(len(kinds))], ",".join(g[2] for g in sorted(got))
 
 
@@ -353,6 +353,67 @@ def test_personal_data_added_kinds(spark):
     assert "iban:8:35" in spans[0] and "name:" in spans[0] and "iban" not in spans[20]
 
 
+def _mixed_personal_texts():
+    """Runs that the base drops whole and hold a card or a phone, and decoys: numbers that look like cards, but fail Luhn."""
+    rng = random.Random(26)
+
+    def number(good):
+        d = [rng.choice([3, 4, 5, 6]), *(rng.randrange(10) for _ in range(14))]
+        last = (10 - sum(x if i % 2 else sum(divmod(2 * x, 10)) for i, x in enumerate(d[::-1])) % 10) % 10
+        return "".join(map(str, d)) + str(last if good else (last + rng.randint(1, 9)) % 10)
+
+    texts = [f"pay {number(True)} or call +1 (212) 555-{rng.randrange(1000, 9999)} at 8.8.4.{rng.randrange(99)}" for _ in range(200)]
+    swallowed = [f"see {number(True)} 27.65.93.188 and" for _ in range(30)] + [f"see +1 (269) 555-3296 {number(True)} and" for _ in range(30)]
+    decoys = [f"see {number(False)} and" for _ in range(60)]
+    return texts + swallowed + decoys, range(200, 230), range(230, 260), range(260, 320)
+
+
+def test_personal_data_of_swallowed_runs(spark):
+    texts, cards, both, decoys = _mixed_personal_texts()
+    got = {r["doc_id"]: r for r in pii.personal_report(docs_of(spark, texts)).collect()}
+    assert all(got[i]["n_card"] == 1 and got[i]["n_added"] == 0 for i in range(200))
+    assert all(got[i]["n_card"] == 0 and got[i]["n_ip"] == 1 and got[i]["spans"] == "card:4:20,ip:21:33" and got[i]["n_added"] == 1 for i in cards)
+    assert all(got[i]["n_card"] + got[i]["n_phone"] == 0 and got[i]["spans"] == "phone:4:21,card:22:38" and got[i]["n_added"] == 2 for i in both)
+    assert all(got[i]["spans"] == "" for i in decoys)
+
+
+def test_personal_data_depends_on_expectation_maximisation(spark, monkeypatch):
+    """With a plain majority of the labelers, the decoys are taken for cards."""
+    texts, _, _, decoys = _mixed_personal_texts()
+    majority = lambda patterns, groups=None: ([float(sum(v) > 0) for v, _ in patterns], {})
+    monkeypatch.setattr(pii, "expectation_maximisation", majority)
+    got = {r["doc_id"]: r for r in pii.personal_report(docs_of(spark, texts)).collect()}
+    assert all(got[i]["spans"].startswith("card:4:") for i in decoys)
+
+
+def test_doubtful_base_spans_are_told(spark):
+    texts, *_ = _mixed_personal_texts()
+    got = {r["doc_id"]: r for r in pii.personal_report(docs_of(spark, [*texts, *(f"sha a3a1b97e25e5c{k}002651439458202064" for k in "abc")])).collect()}
+    assert all(got[i]["n_card"] == 1 and got[i]["doubtful"] == got[i]["spans"] != "" for i in range(320, 323)) and all(got[i]["doubtful"] == "" for i in range(320))
+
+
+def test_base_counts_equal_sql(spark):
+    """The counts of the base kinds of op6 and op9 by DuckDB."""
+    import duckdb
+
+    digits = lambda m: f"regexp_replace({m}, '[^0-9]', '', 'g')"
+    luhn = f"list_sum([CASE WHEN i % 2 = 1 THEN d ELSE d * 2 - CASE WHEN d > 4 THEN 9 ELSE 0 END END FOR d, i IN [CAST(c AS INT) FOR c IN string_split(reverse({digits('m')}), '')]])"
+    base = f"""SELECT doc_id,
+      len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS n_email,
+      len([m FOR m IN regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') IF list_max([CAST(x AS HUGEINT) FOR x IN string_split(m, '.')]) <= 255]) AS n_ip,
+      len([m FOR m IN regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+') IF length({digits('m')}) BETWEEN 12 AND 19 AND {luhn} % 10 = 0]) AS n_card,
+      len([m FOR m IN regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]') IF length({digits('m')}) BETWEEN 9 AND 15]) AS n_phone,
+      len([m FOR m IN regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) IF length(m) >= 8]) AS n_assign,
+      len([m FOR m IN regexp_extract_all(t, 'AKIA[A-Z0-9]+') IF length(m) >= 16]) AS n_access,
+      len([m FOR m IN regexp_extract_all(t, '[0-9a-f]+') IF length(m) >= 32]) AS n_hex
+      FROM (SELECT doc_id, coalesce(text, '') AS t FROM '/root/testdata/sf0.01/documents.parquet')"""
+    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_assign", "n_access", "n_hex"]
+    want = sorted(duckdb.sql(base).fetchall())
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = pii.personal_report(d).select(*names[:5]).join(secrets.secret_report(d).select("doc_id", *names[5:]), "doc_id")
+    assert sorted(tuple(r) for r in got.collect()) == want and all(sum(r[k] for r in want) > 0 for k in (1, 2, 3, 4, 5, 7))
+
+
 def test_expectation_maximisation_finds_the_reliable_labeler():
     rng = random.Random(10)
     counts = {}

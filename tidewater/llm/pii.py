@@ -4,7 +4,9 @@ Candidate spans come from patterns. Labelers vote on each: its shape, a gazettee
 around it. Votes are counted by pattern over the whole corpus - at most some hundred rows, whatever its size - and
 expectation-maximisation on those counts estimates how far each labeler can be relied on and how likely each pattern
 is personal data. Those likelihoods train a logistic span classifier on the span's kind, votes and form, which is
-applied as a column expression. Base spans stay whatever it says; spans of other kinds are added where it agrees.
+applied as a column expression. It alone decides on the candidates that the base kinds leave out: numbers inside of
+runs that the base drops whole, phones without a plus sign, spelt-out addresses, and kinds of their own. Base spans stay
+whatever it says, but those that it doubts are told.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from functools import reduce
 from operator import add
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import table
@@ -26,6 +28,8 @@ def _like(pattern: str):
 
 
 _HONORIFICS = "Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora"
+#: A phone number in groups, with a country code or a North American one without.
+_PHONE_RUN = r"(?:(?<![0-9.-])\+[0-9]{1,3}(?:[\x20().-]{1,2}[0-9]{2,4}){2,4}|(?<![0-9.+-])(?:1[\x20.-])?(?:\([2-9][0-9]{2}\)\x20?|[2-9][0-9]{2}[\x20.-])[2-9][0-9]{2}[\x20.-][0-9]{4})(?![0-9]|-[0-9])"
 #: name, pattern, and what a text must hold for a match that counts. The base kinds come first, in the order that
 #: breaks ties. Card runs are whole runs, so the least number of digits can stand in the pattern; an address starts
 #: where a run of its characters does, or where the match before it ended.
@@ -36,9 +40,14 @@ KINDS = [
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", _like(r"\+[0-9][\x20().0-9-]+[0-9]")),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", _like(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", _like(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}")),
+    ("card_run", r"(?<![0-9])(?:[0-9]{12,19}+|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9])", _like(r"[0-9]{12}|[0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}")),
+    ("phone_run", _PHONE_RUN, _like(r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}|\+[0-9]{1,3}[\x20().-]{1,2}[0-9]{2,4}[\x20().-]")),
+    ("email_spelt", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(](?i:at)[\])]\x20?[A-Za-z0-9-]{1,63}+(?:(?:\x20?[\[(](?i:dot)[\])]\x20?|\.)[A-Za-z0-9-]{1,63}+){1,4}+", _like(r"[\[(](?i:at)[\])]")),
     ("name", rf"(?<![\p{{L}}])(?:{_HONORIFICS})\.?\x20\p{{Lu}}[\p{{L}}'-]{{1,30}}+(?:\x20\p{{Lu}}[\p{{L}}'-]{{1,30}}+)?+", _like(rf"(?<![\p{{L}}])(?:{_HONORIFICS})\.?\x20\p{{Lu}}")),
 ]
 BASE = 4
+#: What the other kinds that find a base kind's data are called in the lists.
+CALLED = {"card_run": "card", "phone_run": "phone", "email_spelt": "email"}
 LABELERS = ("shape", "gazetteer", "context", "check")
 ROUNDS = 60
 
@@ -57,6 +66,8 @@ _AGAINST = r"version|release|isbn|doi|order|invoice|serial|part no|build|figure|
 _NAMES = r"\b(?:James|Mary|John|Anna|Robert|Linda|Michael|Maria|David|Sarah|Thomas|Laura|Peter|Julia|Paul|Sophie|Carlos|Lucia|Pierre|Claire|Hans|Petra|Smith|Jones|Brown|Müller|Schmidt|Martin|Garcia|Lopez|Dubois)\b"
 _DOMAINS = r"(?i)\.(?:com|org|net|edu|gov|io|de|fr|es|uk|eu|us|info|co)$"
 _IBAN_LANDS = r"^(?:AT|BE|CH|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)"
+#: Area or exchange codes that no number has.
+_NO_AREA = r"^\+?1?[\x20.-]?\(?(?:[2-9]11|[2-9][0-9]{2}\)?[\x20.-]?[2-9]11)"
 _OCTETS = r"^(?:0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$"
 
 
@@ -76,10 +87,11 @@ def iban_ok(value: Column) -> Column:
 
 
 def _valid(kind: Column, value: Column) -> Column:
-    """What keeps a raw match of a base kind; others are judged by the classifier alone."""
+    """Whether a span's digits can be what its kind says: what keeps a base kind's raw match, and a vote for the others."""
     digits = F.regexp_replace(value, "[^0-9]", "")
     return (
-        F.when(kind == "ip", value.rlike(_OCTETS)).when(kind == "card", F.length(digits).between(12, 19) & luhn(digits)).when(kind == "phone", F.length(digits).between(9, 15))
+        F.when(kind == "ip", value.rlike(_OCTETS)).when(kind.isin("card", "card_run"), F.length(digits).between(12, 19) & luhn(digits)).when(kind == "phone", F.length(digits).between(9, 15))
+        .when(kind == "phone_run", F.length(digits).between(9, 15) & ~value.rlike(_NO_AREA))
         .when(kind == "ssn", ~value.rlike("^(?:000|666|9)") & ~value.rlike("-00-|-0000$")).when(kind == "iban", iban_ok(value)).otherwise(F.lit(True))
     )
 
@@ -87,36 +99,50 @@ def _valid(kind: Column, value: Column) -> Column:
 def _votes(rows: DataFrame) -> DataFrame:
     """The rows with a vote of each labeler: 1 for personal data, -1 against, 0 for none."""
     kind, value, before, after = (F.col(c) for c in ("kind", "value", "before", "after"))
-    speaks = reduce(lambda c, k: c.when(kind == k, F.lower("before").rlike(f"(?i)(?:{_FOR[k]})")), _FOR, F.when(F.lit(False), F.lit(False)))
+    speaks = reduce(lambda c, k: c.when(kind.isin(k, f"{k}_run", f"{k}_spelt"), F.lower("before").rlike(f"(?i)(?:{_FOR[k]})")), _FOR, F.when(F.lit(False), F.lit(False)))
     context = F.when(F.lower(before).rlike(_AGAINST), -1).when(speaks, 1).otherwise(0)
     edge = before.rlike(r"[\p{L}0-9]$") | after.rlike(r"^[\p{L}0-9]")
     shape = F.when(edge, -1).when(kind == "email", F.when(value.rlike(r"^[^@]{1,64}@.{3,253}$") & ~value.rlike(r"^\.|\.\.|\.@"), 1).otherwise(-1)).otherwise(1)
     gazetteer = (
-        F.when(kind == "email", F.when(value.rlike(_DOMAINS), 1).otherwise(0)).when(kind == "ip", F.when(value.rlike(r"^(?:0|127|255)\."), -1).otherwise(1))
-        .when(kind == "phone", F.when(value.rlike(r"^\+(?:1|3[0-9]|4[0-9])"), 1).otherwise(0)).when(kind == "iban", F.when(value.rlike(_IBAN_LANDS), 1).otherwise(-1))
-        .when(kind == "name", F.when(value.rlike(_NAMES), 1).otherwise(0)).when(kind == "card", F.when(value.rlike("^[3-6]"), 1).otherwise(-1)).otherwise(0)
+        F.when(kind.isin("email", "email_spelt"), F.when(value.rlike(_DOMAINS), 1).otherwise(0)).when(kind == "ip", F.when(value.rlike(r"^(?:0|127|255)\."), -1).otherwise(1))
+        .when(kind == "phone", F.when(value.rlike(r"^\+(?:1|3[0-9]|4[0-9])"), 1).otherwise(0)).when(kind == "phone_run", F.when(value.rlike(r"^(?:\+(?:1|3[0-9]|4[0-9])|\(?[2-9][0-8][0-9])"), 1).otherwise(0))
+        .when(kind == "iban", F.when(value.rlike(_IBAN_LANDS), 1).otherwise(-1)).when(kind == "name", F.when(value.rlike(_NAMES), 1).otherwise(0))
+        .when(kind.isin("card", "card_run"), F.when(value.rlike("^[3-6]"), 1).otherwise(-1)).otherwise(0)
     )
-    check = F.when(kind.isin("email", "name"), 0).when(F.col("valid"), 1).otherwise(-1)
+    check = F.when(kind.isin("email", "email_spelt", "name"), 0).when(F.col("valid"), 1).otherwise(-1)
     return rows.withColumns({"v_shape": shape, "v_gazetteer": gazetteer, "v_context": context, "v_check": check})
 
 
-def expectation_maximisation(patterns: list[tuple[tuple[int, ...], float]], rounds: int = ROUNDS) -> tuple[list[float], dict[str, list[list[float]]]]:
+def _unheld(spans: DataFrame) -> DataFrame:
+    """The spans without those of other kinds that overlap a valid span of a base kind."""
+    base = F.col("valid") & (F.col("ord") < BASE)
+    each, upto = Window.partitionBy("rid"), (Window.unboundedPreceding, -1)
+    before = F.max(F.when(base, F.col("end"))).over(each.orderBy("start", "ord").rowsBetween(*upto))
+    # a frame that only grows, from the end: one that reaches to the end would be summed up again for each row
+    after = F.min(F.when(base, F.col("start"))).over(each.orderBy(F.desc("start"), F.desc("ord")).rowsBetween(*upto))
+    held = (F.col("ord") >= BASE) & (F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("end"), F.lit(False)))
+    return spans.withColumn("__held", held).where(~F.col("__held")).drop("__held")
+
+
+def expectation_maximisation(patterns: list[tuple[tuple[int, ...], float]], groups: list[str] | None = None, rounds: int = ROUNDS) -> tuple[list[float], dict[str, list[list[float]]]]:
     """The likelihood that each pattern of votes (-1, 0 or 1 each) marks personal data, and each labeler's chances of
-    the three votes given either class, from the patterns' counts. Labelers are taken as independent given the class;
-    counts are smoothed, and the start is their majority."""
+    voting -1 and 1 given either class (at 0 and 2; not to vote, at 1, tells nothing), from the patterns' counts. Labelers are taken as independent given the class
+    and as reliable in one group of patterns as in another, while each group has a share of personal data of its own;
+    counts are smoothed, and the start is the majority. No patterns give none."""
     if not patterns:
         return [], {}
     votes, n = np.array([p for p, _ in patterns]) + 1, np.array([c for _, c in patterns], float)
+    of = np.unique(groups if groups is not None else [""] * len(patterns), return_inverse=True)[1]
     post = 1 / (1 + np.exp(-(votes - 1).sum(axis=1).astype(float) - 0.5))
     rel = np.zeros((2, votes.shape[1], 3))
     for _ in range(rounds):
-        prior = ((n * post).sum() + 1) / (n.sum() + 2)
+        prior = ((np.bincount(of, n * post) + 1) / (np.bincount(of, n) + 2))[of]
         for y, w in ((0, n * (1 - post)), (1, n * post)):
             for j in range(votes.shape[1]):
-                c = np.bincount(votes[:, j], w, 3) + (0.5, 0.5, 0.5)
+                c = np.bincount(votes[:, j], w, 3) + 0.5
                 c[2 if y else 0] += 1.0  # a labeler is held to be better than chance until counts say otherwise
-                rel[y, j] = c / c.sum()
-        logs = [math.log(p) + sum(np.log(rel[y, j, votes[:, j]]) for j in range(votes.shape[1])) for y, p in ((0, 1 - prior), (1, prior))]
+                rel[y, j] = c[0] / (c[0] + c[2]), 1.0, c[2] / (c[0] + c[2])
+        logs = [np.log(p) + sum(np.log(rel[y, j, votes[:, j]]) for j in range(votes.shape[1])) for y, p in ((0, 1 - prior), (1, prior))]
         post = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
     return [float(p) for p in post], {name: [[float(x) for x in rel[y, j]] for y in (0, 1)] for j, name in enumerate(LABELERS)}
 
@@ -126,10 +152,10 @@ class SpanModel:
 
     def __init__(self, rows: list[tuple[str, tuple[int, ...], int, float]]):
         """rows: kind, votes, form and count."""
-        merged: dict[tuple[int, ...], float] = {}
-        for _, v, _, n in rows:
-            merged[v] = merged.get(v, 0.0) + n
-        likely, self.reliability = expectation_maximisation(list(merged.items()))
+        merged: dict[tuple[str, tuple[int, ...]], float] = {}
+        for k, v, _, n in rows:
+            merged[k, v] = merged.get((k, v), 0.0) + n
+        likely, self.reliability = expectation_maximisation([(v, n) for (_, v), n in merged.items()], [k for k, _ in merged])
         post = dict(zip(merged, likely, strict=True))
         self.features = sorted({f for k, v, form, _ in rows for f in self._of(k, v, form)})
         at = {f: i for i, f in enumerate(self.features)}
@@ -138,7 +164,7 @@ class SpanModel:
         for i, (k, v, form, _) in enumerate(rows):
             for f in self._of(k, v, form):
                 x[i, at[f]] = 1
-        y, n = np.array([post[v] for _, v, _, _ in rows]), np.array([c for *_, c in rows], float)
+        y, n = np.array([post[k, v] for k, v, _, _ in rows]), np.array([c for *_, c in rows], float)
         w = np.zeros(x.shape[1])
         pull = np.full(x.shape[1], 1.0)
         for _ in range(40 if len(rows) else 0):
@@ -168,39 +194,45 @@ class SpanModel:
 def personal_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, SpanModel]:
     """The scanned rows (rid, doc_id), the spans of every candidate with its votes and probability, and the model.
 
-    spans: rid, doc_id, kind, ord, start, end, value, valid, votes, probability, kept (a valid base span, or another
-    valid one at probability 0.5 or more).
+    spans: rid, doc_id, kind, ord, start, end, value, valid, votes, probability, kept (a base span, or another one at
+    probability 0.5 or more; an IBAN or SSN has to be valid, too). Raw matches that a base kind drops are no candidates, nor is what overlaps a base span.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found, _ = found_spans(rows, KINDS, ["doc_id"])
-    spans = span_rows(found, KINDS, ["doc_id"]).withColumn("valid", _valid(F.col("kind"), F.col("value")))
-    spans = _votes(spans).withColumn("form", F.least(F.floor(F.length("value") / 6), F.lit(6)).cast("int"))
+    spans = span_rows(found, KINDS, ["doc_id"]).withColumn("valid", _valid(F.col("kind"), F.col("value"))).where(F.col("valid") | (F.col("ord") >= BASE))
+    spans = _votes(_unheld(spans)).withColumn("form", F.least(F.floor(F.length("value") / 6), F.lit(6)).cast("int"))
     votes = [f"v_{x}" for x in LABELERS]
     # kinds x votes x forms: at most a few thousand rows
     counts = spans.groupBy("kind", *votes, "form").agg(F.count(F.lit(1)).alias("n")).collect()
     model = SpanModel(sorted((r["kind"], tuple(r[v] for v in votes), r["form"], float(r["n"])) for r in counts))
     spans = spans.withColumn("probability", model.probability())
-    return found, spans.withColumn("kept", F.col("valid") & ((F.col("ord") < BASE) | (F.col("probability") >= 0.5))), model
+    return found, spans.withColumn("kept", (F.col("ord") < BASE) | (F.col("probability") >= 0.5) & (F.col("valid") | F.col("kind").isin(*CALLED))), model
 
 
 def personal_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, one row for each of docs.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, doubtful, one row for each of docs.
 
-    Null and empty texts have none. Repeated rows stay, null doc_ids too; other columns are not read.
+    spans lists base and added ones; n_added counts the latter, and doubtful lists the base spans that the classifier
+    puts below 0.5. Null and empty texts have none, an empty table gives an empty one, and spans that start at one place
+    come in the order of kinds. Repeated rows stay, null doc_ids too; other columns are not read.
     """
     found, spans, _ = personal_spans(docs)
-    each = spans.where("kept").groupBy("rid", "doc_id").agg(F.collect_list(F.struct("start", "ord", "kind", "end")).alias("s"))
+    called = F.col("kind")
+    for k, name in CALLED.items():
+        called = F.when(F.col("kind") == k, name).otherwise(called)
+    each = spans.where("kept").groupBy("rid", "doc_id").agg(F.collect_list(F.struct("start", "ord", called.alias("kind"), "end", (F.col("probability") < 0.5).alias("doubt"))).alias("s"))
     has = has_hits(KINDS)
     empty = F.array().cast(each.schema["s"].dataType).alias("s")
     dropped = found.where(has).select("rid", "doc_id").join(each.select("rid"), "rid", "left_anti")
     rows = each.unionByName(found.where(~has).select("rid", "doc_id", empty)).unionByName(dropped.select("rid", "doc_id", empty))
 
-    def count(kind: str):
-        return F.size(F.filter("s", lambda x: x["kind"] == kind)).cast("long")
+    def count(k: int):
+        return F.size(F.filter("s", lambda x: x["ord"] == k)).cast("long")
 
     return rows.select(
-        "doc_id", *(count(n).alias(f"n_{n}") for n, _, _ in KINDS[:BASE]),
+        "doc_id", *(count(k).alias(f"n_{n}") for k, (n, _, _) in enumerate(KINDS[:BASE])),
         F.sha2(F.encode(listed(F.col("s"), where=lambda x: x["ord"] < BASE), "UTF-8"), 256).alias("base_sha256"), listed(F.col("s")).alias("spans"),
+        F.size(F.filter("s", lambda x: x["ord"] >= BASE)).cast("long").alias("n_added"), listed(F.col("s"), where=lambda x: (x["ord"] < BASE) & x["doubt"]).alias("doubtful"),
     )
 
 
