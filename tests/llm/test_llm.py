@@ -466,11 +466,45 @@ def test_private_keys(spark):
 def test_repositories_take_part_in_the_verdict(spark):
     live, copied = "Zx81kQp0Lm2Vn7", "Qw34rTy9Ui0Op1"
     rows = [(i, f"token={copied} {i}", f"r{i}", "o") for i in range(21)] + [(100 + i, f"token={live} {i}", f"r{i % 20}", "o") for i in range(40)]
-    _, spans, _ = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, repo string, source string"), repository="repo")
+    _, spans, _ = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, repo string, source string"), repository="repo", most_repositories=20)
     got = {(r["secret"], r["verdict"], r["repositories"], r["owners"]) for r in spans.collect()}
     assert got == {(copied, "example", 21, 1), (live, "live", 20, 1)}
 
 
+def _tokens_of_owners():
+    """Random runs, which are no base kind: one that five owners hold, one that one owner has in all its languages, and specific ones."""
+    rng = random.Random(27)
+    run = lambda: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ") + rng.choice("abcdefghijkmnopqrstuvwxyz") + rng.choice("0123456789") for _ in range(13))
+    copied, spread = run(), run()
+    rows = [(i, f"use {copied} here {i}", f"s{i % 5}", "en") for i in range(40)]
+    rows += [(100 + i, f"use {spread} here {i}", "s0", f"l{i % 7}") for i in range(40)]
+    rows += [(200 + i, f"use {run()} here {i}", f"s{i % 5}", "en") for i in range(40)]
+    rows += [(300 + i, f"use {rows[80][1][4:43]} here {i}", f"s{i % 2}", "en") for i in range(20)]  # two owners
+    return rows, "doc_id long, text string, source string, lang string"
+
+
+def test_ownership_decides_on_what_is_added(spark, monkeypatch):
+    rows, schema = _tokens_of_owners()
+    d = spark.createDataFrame(rows, schema)
+    got = {r["doc_id"]: r for r in secrets.secret_report(d).collect()}
+    assert all(got[i]["spans"] == got[i]["live"] == "" and got[i]["n_hex"] + got[i]["n_assign"] == 0 for i in range(40)) and all(got[100 + i]["spans"] == "" for i in range(40))
+    assert all(got[i]["spans"] == got[i]["live"] == "random:4:43" and got[i]["n_live"] == 1 for i in [*range(200, 240), *range(300, 320)])
+    masked = {r["doc_id"]: r["text"] for r in secrets.hide_live_secrets(d).collect()}
+    assert masked[0] == rows[0][1] and masked[100] == rows[40][1] and masked[200] == "use <secret> here 0"
+    spans = {r["doc_id"]: (r["owners"], r["repositories"]) for r in secrets.scan(d)[1].collect()}
+    assert spans[0] == (5, 5) and spans[100] == (1, 7) and spans[201] == (1, 1) and spans[300] == (2, 2)
+
+
+@pytest.mark.parametrize("off", ["owners", "repositories"])
+def test_secrets_depend_on_both_counts(spark, off):
+    """Without a bound on the one count, what only it tells apart is taken for live."""
+    rows, schema = _tokens_of_owners()
+    d = spark.createDataFrame(rows, schema)
+    _, spans, _ = secrets.scan(d, **{f"most_{off}": 10**6})
+    live = {r["doc_id"] for r in spans.where("verdict = 'live'").collect()}
+    assert set(range(40) if off == "owners" else range(100, 140)) <= live and not live & set(range(100, 140) if off == "owners" else range(40))
+
+
 def test_native_plans_have_no_python(spark):
     for df in (pii.personal_report(docs_of(spark, ["a@b.cd"])), secrets.secret_report(docs_of(spark, ["token=abcdefgh12"]))):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())

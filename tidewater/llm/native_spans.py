@@ -58,6 +58,16 @@ def span_rows(found: DataFrame, kinds: list[tuple[str, str, object]], keep: list
     return rows.select("rid", *keep, F.element_at(names, F.col("ord") + 1).alias("kind"), "ord", (end - F.length("value")).alias("start"), end.alias("end"), "value", "before", "after")
 
 
+def unheld(spans: DataFrame, base) -> DataFrame:
+    """The spans (rid, ord, start, end) without those that overlap one for which `base` holds; these stay themselves."""
+    each, upto = Window.partitionBy("rid"), (Window.unboundedPreceding, -1)
+    before = F.max(F.when(base, F.col("end"))).over(each.orderBy("start", "ord").rowsBetween(*upto))
+    # a frame that only grows, from the end: one that reaches to the end would be summed up again for each row
+    after = F.min(F.when(base, F.col("start"))).over(each.orderBy(F.desc("start"), F.desc("ord")).rowsBetween(*upto))
+    held = ~base & (F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("end"), F.lit(False)))
+    return spans.withColumn("__held", held).where(~F.col("__held")).drop("__held")
+
+
 def listed(spans, *, where=None):
     """kind:start:end of an array of spans (start, ord, kind, end), by start, then kind, comma-joined."""
     a = F.array_sort(spans if where is None else F.filter(spans, where))

@@ -16,11 +16,11 @@ from functools import reduce
 from operator import add
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import table
-from tidewater.llm.native_spans import found_spans, has_hits, listed, span_rows
+from tidewater.llm.native_spans import found_spans, has_hits, listed, span_rows, unheld
 
 
 def _like(pattern: str):
@@ -113,17 +113,6 @@ def _votes(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"v_shape": shape, "v_gazetteer": gazetteer, "v_context": context, "v_check": check})
 
 
-def _unheld(spans: DataFrame) -> DataFrame:
-    """The spans without those of other kinds that overlap a valid span of a base kind."""
-    base = F.col("valid") & (F.col("ord") < BASE)
-    each, upto = Window.partitionBy("rid"), (Window.unboundedPreceding, -1)
-    before = F.max(F.when(base, F.col("end"))).over(each.orderBy("start", "ord").rowsBetween(*upto))
-    # a frame that only grows, from the end: one that reaches to the end would be summed up again for each row
-    after = F.min(F.when(base, F.col("start"))).over(each.orderBy(F.desc("start"), F.desc("ord")).rowsBetween(*upto))
-    held = (F.col("ord") >= BASE) & (F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("end"), F.lit(False)))
-    return spans.withColumn("__held", held).where(~F.col("__held")).drop("__held")
-
-
 def expectation_maximisation(patterns: list[tuple[tuple[int, ...], float]], groups: list[str] | None = None, rounds: int = ROUNDS) -> tuple[list[float], dict[str, list[list[float]]]]:
     """The likelihood that each pattern of votes (-1, 0 or 1 each) marks personal data, and each labeler's chances of
     voting -1 and 1 given either class (at 0 and 2; not to vote, at 1, tells nothing), from the patterns' counts. Labelers are taken as independent given the class
@@ -200,7 +189,7 @@ def personal_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, SpanModel]:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found, _ = found_spans(rows, KINDS, ["doc_id"])
     spans = span_rows(found, KINDS, ["doc_id"]).withColumn("valid", _valid(F.col("kind"), F.col("value"))).where(F.col("valid") | (F.col("ord") >= BASE))
-    spans = _votes(_unheld(spans)).withColumn("form", F.least(F.floor(F.length("value") / 6), F.lit(6)).cast("int"))
+    spans = _votes(unheld(spans, F.col("ord") < BASE)).withColumn("form", F.least(F.floor(F.length("value") / 6), F.lit(6)).cast("int"))
     votes = [f"v_{x}" for x in LABELERS]
     # kinds x votes x forms: at most a few thousand rows
     counts = spans.groupBy("kind", *votes, "form").agg(F.count(F.lit(1)).alias("n")).collect()

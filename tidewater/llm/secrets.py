@@ -1,8 +1,9 @@
 """Secret scans judged by corpus-wide ownership, by DataFrame functions alone.
 
-Every candidate's value is hashed, and the hash counted over distinct repositories and owners of the whole corpus: a
-value that many owners hold is a copied example, one that few hold and that looks random is live. Known formats
-beyond the base kinds are added where they look live.
+Every candidate's value is hashed, and the hash counted over distinct owners and distinct repositories of the whole
+corpus: a value that many owners hold, or that stands in many repositories, is a copied example, one that few hold and
+that looks random is live. Known formats beyond the base kinds, and random runs in no format at all, are added where
+they are live, that is where ownership says so.
 """
 
 from __future__ import annotations
@@ -10,11 +11,11 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import bit_flag, hot_split_join, row_key, table
-from tidewater.llm.native_spans import found_spans, has_hits, listed, span_rows
+from tidewater.llm.native_spans import found_spans, has_hits, listed, span_rows, unheld
 
 _ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]++)"
 
@@ -32,6 +33,10 @@ _PRIVATE_KEY = (
 )
 
 
+#: A run that no format explains: capitals, small letters and digits, or capital hexadecimal digits.
+_RANDOM = r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_-]{0,40}[0-9])(?=[A-Z0-9+/_-]{0,40}[a-z])(?=[a-z0-9+/_-]{0,40}[A-Z])[A-Za-z0-9+/_-]{32,256}+={0,2}(?![A-Za-z0-9+/_=-])|(?<![A-Za-z0-9+/_=.-])[0-9A-F]{32,128}+(?![A-Za-z0-9+/_=-])"
+
+
 def _has(*parts: str):
     return lambda: reduce(and_, (F.col("text").contains(x) for x in parts))
 
@@ -53,31 +58,41 @@ KINDS = [
     ("stripe", r"(?<![A-Za-z0-9_])[rs]k_live_[A-Za-z0-9]{16,}+", _has("k_live_")),
     ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{16,}+", _has("eyJ")),
     ("private_key", _PRIVATE_KEY, _has("-----BEGIN ", "PRIVATE KEY-----")),
+    ("random", _RANDOM, _like(_RANDOM)),
 ]
 BASE = 3
 #: Distinct owners up to which a value counts as specific to them.
 MOST_OWNERS = 2
-#: Distinct repositories up to which it does, where they are a column of their own.
-MOST_REPOSITORIES = 20
+#: Distinct repositories up to which it does.
+MOST_REPOSITORIES = 6
 #: Words that mark a placeholder.
 _EXAMPLE = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]?|xxxx|test|0123456789|123456789|abcdefgh"
 
 
-def scan(docs: DataFrame, repository: str = "source", owner: str = "source", most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> tuple[DataFrame, DataFrame, str]:
+def repository_of(docs: DataFrame, owner: str) -> Column:
+    """The part of an owner's documents that counts as a repository: those in one language, where that is known."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (owner, "lang") if c in docs.columns]
+    return F.concat_ws("/", *parts)
+
+
+def scan(docs: DataFrame, repository: str | None = None, owner: str = "source", most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> tuple[DataFrame, DataFrame, str]:
     """The scanned rows (rid, doc_id, key), the spans with ownership, and the path both are read from.
 
+    repository and owner name columns; without a repository column it is the owner's documents of one `lang`.
     spans: rid, doc_id, key, kind, ord, start, end (of the whole match), secret (the part to hide starts at
-    secret_start), repositories, owners, verdict: example (held by more than most_owners owners or, where they are
-    another column, most_repositories repositories, or a placeholder), weak (few kinds of characters) or live. All null repositories or owners are one. key is a hash of
-    doc_id and text, the same for repeated rows.
+    secret_start), repositories, owners, verdict: example (held by more than most_owners owners, or in more than
+    most_repositories repositories, or a placeholder), weak (few kinds of characters) or live. All null repositories or
+    owners are one. A random run that overlaps a span of another kind is none. key is a hash of doc_id and text, the same
+    for repeated rows. Null and empty texts have no spans, and an empty table none.
     """
+    repo = F.col(repository) if repository else repository_of(docs, owner)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-        F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("__repo"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("__owner"),
+        F.coalesce(repo.cast("string"), F.lit("")).alias("__repo"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("__owner"),
     )
     keep = ["doc_id", "key", "__repo", "__owner"]
     found, path = found_spans(rows.withColumn("key", row_key()), KINDS, keep)
-    spans = span_rows(found, KINDS, keep)
+    spans = unheld(span_rows(found, KINDS, keep), F.col("kind") != "random")
     secret = F.when(F.col("kind") == "assign", F.regexp_extract("value", _ASSIGN, 2)).otherwise(F.col("value"))
     spans = spans.withColumn("secret", secret).where((F.col("kind") != "assign") | (F.length("secret") >= 8))
     # a private key is known by its body, however its lines are broken
@@ -94,15 +109,16 @@ def scan(docs: DataFrame, repository: str = "source", owner: str = "source", mos
     kinds = F.size(F.array_distinct(F.split("body", "")))
     # in a key's long runs such words stand by chance
     words = F.when(is_key, F.regexp_replace("secret", "[A-Za-z0-9+/=]{16,}", "")).otherwise(F.col("secret"))
-    verdict = F.when((F.col("owners") > most_owners) | F.lit(repository != owner) & (F.col("repositories") > most_repositories) | words.rlike(_EXAMPLE), "example").when(kinds < 6, "weak").otherwise("live")
+    verdict = F.when((F.col("owners") > most_owners) | (F.col("repositories") > most_repositories) | words.rlike(_EXAMPLE), "example").when(kinds < 6, "weak").otherwise("live")
     return found, spans.withColumn("verdict", verdict).drop("__repo", "__owner", "uses", "hash", "body"), path
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, one row for each of docs.
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, live, one row for each of docs.
 
-    Base spans always count; those of the other formats are added where they are live. Null and empty texts have
-    none. Repeated rows stay, null doc_ids too; columns other than doc_id, text and source are not read.
+    Base spans always count; those of the other formats are added where they are live, and live lists what is. Null and
+    empty texts have none, an empty table gives an empty one, and spans that start at one place come in the order of
+    kinds. Repeated rows stay, null doc_ids too; columns other than doc_id, text, source and lang are not read.
     """
     found, spans, _ = scan(docs)
     kept = spans.where((F.col("ord") < BASE) | (F.col("verdict") == "live"))
@@ -119,6 +135,7 @@ def secret_report(docs: DataFrame) -> DataFrame:
         "doc_id", *(count("kind", n).alias(f"n_{n}") for n, _, _ in KINDS[:BASE]),
         F.sha2(F.encode(listed(F.col("s"), where=lambda x: x["ord"] < BASE), "UTF-8"), 256).alias("base_sha256"), listed(F.col("s")).alias("spans"),
         count("verdict", "live").alias("n_live"), count("verdict", "example").alias("n_example"),
+        listed(F.col("s"), where=lambda x: x["verdict"] == "live").alias("live"),
     )
 
 
