@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.llm import decontamination, flac, html_text, jaccard_join, language_id, media, native_spans, packing, pii, secrets, token_output, tokens, toxicity
+from tidewater.llm import components, decontamination, flac, html_text, jaccard_join, language_id, media, native_spans, packing, pii, secrets, token_output, tokens, toxicity
 from tidewater.llm.common import new_path, without_keys
 from tidewater.llm.components import connected_components
 
@@ -245,7 +245,9 @@ def test_similar_documents_edges(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [4, 5, 7]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [500, 3])
+def test_components(spark, monkeypatch, hot):
+    monkeypatch.setattr(components, "HOT_ROWS", hot)
     rng = random.Random(7)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(1, 50)]
     parent = {x: x for e in edges for x in e}
@@ -260,6 +262,7 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
+    assert connected_components(spark.createDataFrame([(1, 1)], "u long, v long")).count() == 0
 
 
 # Decontamination

@@ -12,26 +12,42 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
+#: Rows of one node from which on its joins are dealt over PARTS tasks, and the least share of all rows that this is.
+HOT_ROWS, HOT_SHARE, PARTS = 500, 2000, 32
+
+
+def _to_nodes(rows: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
+    """rows (u, v) joined with nodes (u, m, n: the number of rows with this u).
+
+    Nodes with very many rows - no more than 2 * HOT_SHARE of them, as `total` edges have - are dealt by the other end.
+    """
+    hot = F.col("n") > max(total // HOT_SHARE, HOT_ROWS)
+    flags = nodes.where(hot).select("u", F.lit(True).alias("__hot"))
+    part = F.when(F.col("__hot"), F.pmod(F.xxhash64("v"), F.lit(PARTS))).otherwise(F.lit(0).cast("long"))
+    dealt = rows.join(F.broadcast(flags), "u", "left").select("u", "v", part.alias("__part"))
+    parts = F.when(hot, F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return dealt.join(nodes.select("u", "m", F.explode(parts).alias("__part")), ["u", "__part"]).drop("__part")
+
+
 def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, component) for every node of edges (u, v), component being the smallest node that it reaches.
 
-    Each step takes minima with partial aggregation and joins them back, so that a node with very many edges costs
-    rows, not one task's memory (AQE splits the skewed joins); each round is written to the shared folder.
+    Edges from a node to itself count for nothing, repeated ones once; no edges give no rows. Each step takes minima with
+    partial aggregation and joins them back, nodes with very many edges in parts; each round is written to the shared folder.
     """
-    spark = edges.sparkSession
     now, path = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = None
+    check = (F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x"))
+    mark = now.agg(*check).first()
     for _ in range(most):
         both = _both(now)
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _to_nodes(both, least, 2 * mark["n"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        joined = down.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        low = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _to_nodes(down, low, mark["n"]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         after, new = written(small, "edges")
-        new_mark = after.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
-        drop_path(spark, path)
+        new_mark = after.agg(*check).first()
+        drop_path(edges.sparkSession, path)
         now, path = after, new
         if new_mark == mark:
             break
