@@ -4,10 +4,12 @@ import hashlib
 import hmac
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tidewater.functions import identity, text
-from tidewater.operators import archive, firewall, gate, graph, ingest, scan, store, transcript
+from tidewater.operators import archive, firewall, gate, graph, ingest, pages, scan, store, transcript
 from tidewater.schemas import TOPICS
 
 
@@ -92,6 +94,116 @@ def test_transcript(spark):
     assert got["c"] == ("included", "Participant B: (replying to: hi) yo [+2 attachment(s)]", True)
 
 
+def test_transcript_mentions_and_labels(spark):
+    rows = [("a", 1, 0, "hi @x, Participant B and Participant  Q", [(3, 2, "c")], "c", "Participant Z\nsaid " + "y" * 200), ("c", 2, 0, "no mention", None, None, None), ("b", 3, 900000, "\U0001f600 @x!", [(3, 2, "zz")], None, None)]
+    m = spark.createDataFrame([(*r, 0, False) for r in rows], "source string, raw_ts long, coarse_ts long, body string, mentions array<struct<start:int,length:int,uuid:string>>, quote_author string, quote_text string, attachment_count int, retracted boolean")
+    labels = spark.createDataFrame([("a", "Participant A"), ("c", "Participant B")], "iid string, label string")
+    got = {r["source"]: (r["line"], r["header"]) for r in transcript.transcript_lines(m, labels).collect()}
+    quote = "member Z  said " + "y" * 200
+    assert got["a"] == (f"Participant A: (replying to: {quote[: 120 - 11 + 6 + 1]}) hi Participant B, Participant B and member  Q", True)
+    assert got["c"] == ("Participant B: no mention", False) and got["b"] == ("Participant ?: \U0001f600 Participant ?!", True)
+
+
+def test_sensitive_terms_are_folded(spark):
+    r = one(spark, text.redact(F.col("t"), sensitive=["diagnosis"], allow_subset=True), t="my \uff44iagno\u200bsis is")
+    assert r["dropped"] and r["text"] == ""
+    url = "https://x.example/a"
+    r = one(spark, text.redact(F.col("t"), allow_subset=True), t=f"{url} and {url}")
+    assert r["kept_url_list"] == [url, url]
+
+
+def test_rendered_page(spark):
+    base = dict(title="Participant B on\nreserves", topic_key="k", question="Who  is it?", answer="An answer.", confidence="unverified", research_status="contested", finding=None, headline=" It is so ", evidence=[("https://x.example/1", "q|" + "w" * 400, "c")],
+                contradictions=["one"], open_questions=[], tags=["stablecoins", "Bad Tag", "x"], stem=None, first_raised="2026-01-01", last_verified="2026-02-02", updates=[("2026-02-02", "News of @someone", ["Finding changed."], [])], content_sha=None, managed=True)
+    t = spark.createDataFrame([tuple(base.values())], TOPICS)
+    r = pages.render(t.withColumn("rel", F.array(F.lit("[[A]]"))), "rel", ("A", "Hub")).first()
+    title = "Research - a group member on reserves"
+    want = f"""---
+title: "{title}"
+entity_type: research_task
+topic_key: k
+research_status: contested
+finding: unestablished
+first_raised: 2026-01-01
+last_verified: 2026-02-02
+tags: [research, signal-derived, stablecoin, unverified, x]
+sources: ["https://x.example/1"]
+related: ["[[A]]", "[[Hub]]"]
+---
+
+# {title}
+
+> [!warning] Contested
+> Sources disagree on this. See Contradictions below before citing it.
+
+**It is so**
+
+*Revised 2026-02-02 — see Updates below.*
+
+## Question
+
+Who  is it?
+
+## Answer
+
+An answer.
+
+## Evidence
+
+| Source | Quote | Confidence |
+| --- | --- | --- |
+| https://x.example/1 | q\\|{"w" * 294}... | c |
+
+## Contradictions
+
+- one
+
+## Open questions
+
+_None recorded._
+
+## Updates
+
+### 2026-02-02
+
+News of a group member
+
+- Finding changed.
+
+
+## Provenance
+
+{pages.PROVENANCE}
+
+## Related Pages
+
+- [[A]]
+- [[Hub]]
+"""
+    assert r["page"] == want
+    import hashlib
+
+    assert r["stem"] == f"{title} ({hashlib.sha256(b'Who  is it?').hexdigest()[:6]})"
+    assert one(spark, pages.question_title(F.col("t"), F.lit("2026-07")), t="What  is\nthis ?") == "Research - What is this  - 2026-07"
+    assert one(spark, pages.question_title(F.col("t"), F.lit("2026-07")), t="a" * 90) == f"Research - {'a' * 77}... - 2026-07"
+
+
+def test_adopt_and_repair(spark):
+    known = spark.createDataFrame([("s0", "gold-price")], "stem string, topic_key string")
+    got = {r["stem"]: r["topic_key"] for r in pages.adopt(spark.createDataFrame([("s0",), ("Research - Gold price",), ("Gold Price!",), ("123",)], "stem string"), known).collect()}
+    assert got == {"Gold Price!": "gold-price-2", "Research - Gold price": "gold-price-3"}
+    import hashlib
+
+    page = "---\ntitle: x\nrelated: []\n---\nbody"
+    sha = hashlib.sha256(page.encode()).hexdigest()
+    state = spark.createDataFrame([("a", "ka", sha, True, ["x", "y"]), ("b", "kb", "other", True, ["x", "y"]), ("c", "kc", hashlib.sha256(b"bare").hexdigest(), True, ["z"])], "stem string, topic_key string, content_sha string, managed boolean, tags array<string>")
+    rows = {r["stem"]: r for r in pages.repair(spark.createDataFrame([("a", page), ("b", page), ("c", "bare"), ("d", page)], "stem string, page string"), state).collect()}
+    assert rows["a"]["patched"] == '---\ntitle: x\ntopic_key: ka\nrelated: ["[[b]]"]\n---\nbody' and rows["a"]["refusal"] is None
+    assert [rows[x]["refusal"] for x in "bcd"] == ["hand-edited", "no-front-block", "no-state"] and all(rows[x]["patched"] is None for x in "bcd")
+    assert one(spark, pages.recoverable(F.col("t")), t="2026-02-30") is False and one(spark, pages.recoverable(F.col("t")), t="2026-02-28") is True and one(spark, pages.recoverable(F.col("t"), ["open"]), t="open") is True
+    assert one(spark, pages.span_days(F.lit("2026-01-30"), F.col("t")), t="2026-02-02") == 3
+
+
 def test_gate_equals_greedy(spark):
     rng = random.Random(1)
     rows = [(w, i, rng.choice("abc"), True, rng.choice([0.5, 0.6, 0.7, 0.9]), rng.choice([None, "k"]), rng.choice([None, "new"])) for w in range(40) for i in range(9)]
@@ -108,8 +220,11 @@ def test_gate_equals_greedy(spark):
 
 
 def test_firewall_order_and_evasion(spark):
-    v = lambda t, **k: one(spark, firewall.violation(F.col("t"), **k), t=t)
-    assert v('{"mcp_servers": 1, "a": "b@c.de"}') == "request-shape"
+    v = lambda t, shape=False, **k: one(spark, firewall.violation(F.col("t"), shape=shape, allow_subset=True, **k), t=t)
+    assert v('{"mcp_servers": 1, "a": "b@c.de"}', True) == "request-shape" and v('{"\\u0072equests": 1}', True) == "request-shape" and v('{"a": [{"x": {"file_i\\u0064": 0}}]}', True) == "request-shape"
+    assert v("no json", True) == "request-shape" and v('{"a": "say \\"requests\\": no", "b": "\\u0072equests"}', True) is None and v('{"requests2": 1}', True) is None
+    with pytest.raises(RuntimeError):
+        firewall.violation(F.lit("x"))
     assert v("Ａｎｎａ said", names=["Anna"]) == "roster-name" and v("b@" + "c.de") == "email" and v("Participant C", labels=["Participant A"]) == "unknown-label"
     assert v("accession 0001193125-24-206789 CIK 0000320193 assets 127000000000") is None and v("ring 44" + "7700900123") == "bare-phone"
 
@@ -142,8 +257,13 @@ def test_unique_names(spark):
 
 def test_scan_pragmas_and_exemptions(spark):
     word = "anony" + "mise"
-    files = spark.createDataFrame([("f", f"{word}\n# scrub-ok\n\n{word}\nsay {word} # scrub-ok: privacy-word-overclaim\nplain\n{word} ok")], "path string, text string")
-    assert [(r["line"], r["rule"]) for r in scan.scan(files, exempt=(f"{word} ok",)).orderBy("line").collect()] == [(1, "privacy-word-overclaim")]
+    files = spark.createDataFrame([("f", f"{word}\n# scrub-ok\n\n{word}\nsay {word} # Scrub-OK: uuid, Privacy-Word-Overclaim -->\nplain\n{word} ok\n{word} ok, {word}")], "path string, text string")
+    rule = "privacy-word-overclaim"
+    # a bare pragma does nothing; a phrase exempts only the match that it holds
+    assert [(r["line"], r["rule"]) for r in scan.scan(files, exempt=(f"{word} ok",)).orderBy("line").collect()] == [(1, rule), (4, rule), (8, rule)]
+    assert scan.pragma_count(files).first()["n"] == 1
+    mail = spark.createDataFrame([("g", "a.b@corp" + ".example.com\nsee corp.example\n\uff0b4915123456789\u2028x")], "path string, text string")
+    assert [(r["line"], r["rule"]) for r in scan.scan(mail, exempt=("corp.example",)).orderBy("line").collect()] == [(1, "email"), (3, "e164-phone")]
 
 
 def test_graph(spark):

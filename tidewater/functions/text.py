@@ -28,6 +28,7 @@ _HOSTS = "|".join(re.escape(h) for h in sorted(PERSONAL_HOSTS, key=len, reverse=
 PERSONAL_URL_RE = rf"(?i)https?://(?:www\.)?(?:[^\s/<>\"')]+\.)?(?:{_HOSTS})(?=[/\s<>\"')]|$)[^\s<>\"')]*"
 BARE_PERSONAL_RE = rf"(?iU)(?<![\w@/.])(?:[\w-]+\.)*(?:{_HOSTS})/[^\s<>\"')]+"
 LOOSE_PHONE = r"(?<![\w+])(?:\+\d[\d\s().-]{6,17}\d|0\d[\d\s().-]{6,15}\d|\d{2,4}[\s().-]\d{2,4}[\s().-]\d{2,6})(?![\w])"
+SEPARATED_PHONE = r"(?<![\w])(?:\+\d[\d\s().-]{6,17}\d|0\d[\d\s().-]{6,15}\d|\d{2,4}[\s().-]\d{2,4}[\s().-]\d{2,6})(?![\w])"
 BARE_DIGITS = r"(?<![\w+])(\d{10,15})(?![\w])"
 E164_RE = r"(?U)(?<![\w+])\+[1-9]\d{7,14}(?!\w)"
 #: Seven digits anywhere, the least that a phone number has.
@@ -63,6 +64,21 @@ def fold_confusables(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), _fold_udf(F.when(text.rlike(r"[^\x00-\x7F]"), text))).otherwise(text)
 
 
+def _nfkc(text: str) -> str:
+    return unicodedata.normalize("NFKC", text)
+
+
+@F.pandas_udf(StringType())
+def _nfkc_udf(s: pd.Series) -> pd.Series:
+    return s.map(_nfkc, na_action="ignore")
+
+
+def scrub_normalise(text: Column) -> Column:
+    """Compatibility forms folded and backslashes turned, invisible characters kept; ASCII texts never leave the JVM."""
+    odd = text.rlike(r"[^\x00-\x7F]")
+    return F.translate(F.when(odd, _nfkc_udf(F.when(odd, text))).otherwise(text), "\\", "/")
+
+
 def strip_bom(text: Column) -> Column:
     return F.regexp_replace(text, "^﻿", "")
 
@@ -203,9 +219,10 @@ def redact(text: Column, names: Sequence[str] = (), group: str | None = None, se
     """All layers in order - fold, sensitive terms, simple, phones, links, group, names - as a struct of text, rules,
     dropped, kept_urls, kept_addresses and kept_url_list (what of the kept links is in the text still).
 
-    A text with a sensitive term is dropped: empty text. Null stays null.
+    A text that holds a sensitive term once folded is dropped: empty text. Null stays null.
     """
-    layers = redact_simple(fold_confusables(text) if fold else text)
+    folded = fold_confusables(text) if fold else text
+    layers = redact_simple(folded)
     if phones:
         redact_phones(layers, allow_subset)
     kept = kept_urls(layers.text)
@@ -214,13 +231,13 @@ def redact(text: Column, names: Sequence[str] = (), group: str | None = None, se
     redact_names(layers, group, names)
     dropped = F.lit(False)
     for t in sensitive:
-        dropped = dropped | F.contains(F.lower(text), F.lit(t.lower()))
+        dropped = dropped | F.contains(F.lower(folded), F.lit(t.lower()))
     out = layers.text
     return F.when(
         text.isNotNull(),
         F.struct(
             F.when(dropped, "").otherwise(out).alias("text"), F.when(dropped, F.array(F.lit("sensitive"))).otherwise(layers.rules()).alias("rules"), dropped.alias("dropped"),
-            F.size(kept).alias("kept_urls"), n_addresses.alias("kept_addresses"), F.array_intersect(kept, F.regexp_extract_all(out, F.lit(URL_RE), F.lit(0))).alias("kept_url_list"),
+            F.size(kept).alias("kept_urls"), n_addresses.alias("kept_addresses"), F.array_compact(F.zip_with(kept, F.array_repeat(out, F.size(kept)), lambda u, t: F.when(F.contains(t, u), u))).alias("kept_url_list"),
         ),
     )
 
@@ -261,6 +278,19 @@ def defang(text: Column, labels: Sequence[str] = ()) -> Column:
     return F.regexp_replace(out, rf"(?U)(?<!\w)Participant(\s+){ahead}([A-Za-z]{{1,3}})(?!\w)", "member$1$2")
 
 
+def defang_known(text: Column, known: Column) -> Column:
+    """defang with the allocated labels as an array column (`Participant X`), which may differ by row."""
+    out = F.regexp_replace(F.translate(text, "<>", "()"), r"[\r\n\u2028\u2029]+", "  ")
+    said = r"(?U)(?<!\w)Participant(\s+)([A-Za-z]{1,3})(?!\w)"
+    between, found = F.split(out, said, -1), F.regexp_extract_all(out, F.lit(said), F.lit(0))
+
+    def kept(m: Column) -> Column:
+        label = F.concat(F.lit("Participant "), F.regexp_extract(m, said, 2))
+        return F.when(F.array_contains(known, label), m).otherwise(F.regexp_replace(m, "^Participant", "member"))
+
+    return F.when(F.size(found) == 0, out).otherwise(F.array_join(F.zip_with(between, F.transform(found, kept), lambda b, m: F.concat(b, F.coalesce(m, F.lit("")))), ""))
+
+
 MEMBER = "a group member"
 
 
@@ -321,11 +351,30 @@ def bullets(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")
 
 
+def shortened(text: Column, most: int) -> Column:
+    """The text, or its first most - 3 characters and dots."""
+    return F.when(F.length(text) > most, F.concat(F.rtrim(F.substring(text, 1, most - 3)), F.lit("..."))).otherwise(text)
+
+
 def evidence_table(evidence: Column, most: int = 300) -> Column:
-    rows = F.transform(evidence, lambda e: F.concat(F.lit("| "), cell(e["url"]), F.lit(" | "), cell(F.substring(e["quote"], 1, most)), F.lit(" | "), cell(e["confidence"]), F.lit(" |")))
+    rows = F.transform(evidence, lambda e: F.concat(F.lit("| "), cell(e["url"]), F.lit(" | "), F.when(F.length(cell(e["quote"])) > most, F.concat(F.substring(cell(e["quote"]), 1, most - 3), F.lit("..."))).otherwise(cell(e["quote"])), F.lit(" | "), cell(e["confidence"]), F.lit(" |")))
     return F.concat_ws("\n", F.lit("| Source | Quote | Confidence |"), F.lit("| --- | --- | --- |"), F.array_join(rows, "\n"))
 
 
+# Spellings of tags that would split one index page, and the one that stays.
+TAG_CANONICAL = {
+    "stablecoins": "stablecoin",
+    "bitcoin-mining": "mining",
+    "crypto-custody": "custody",
+    "conflicts-of-interest": "conflict-of-interest",
+    "related-party-transactions": "related-party",
+    "institutional-finance": "institutional",
+    "corporate-ownership": "ownership",
+}
+
+
 def clean_tags(tags: Column) -> Column:
-    """Tags of the topical shape, sorted, once each."""
-    return F.array_sort(F.array_distinct(F.filter(tags, lambda t: t.rlike(r"^[a-z][a-z0-9]*(?:-[a-z0-9]+)*$"))))
+    """Tags of the topical shape in their one spelling, sorted, once each."""
+    spelt = F.create_map(*(F.lit(x) for kv in TAG_CANONICAL.items() for x in kv))
+    shaped = F.filter(tags, lambda t: t.rlike(r"^[a-z][a-z0-9]*(?:-[a-z0-9]+)*$"))
+    return F.array_sort(F.array_distinct(F.transform(shaped, lambda t: F.coalesce(spelt[t], t))))

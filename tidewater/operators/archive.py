@@ -131,12 +131,22 @@ def content_ours(page: Column, content_sha: Column) -> Column:
     return page.isNull() | F.sha2(page, 256).eqNullSafe(content_sha)
 
 
+# Confidences that a page's front block states as such; weaker ones become a tag.
+STATED_CONFIDENCE = ("primary", "corroborated")
+
+
 def frontmatter(t: dict[str, Column]) -> Column:
-    """The page's front block: the keys in a fixed order, a weak confidence as one more tag."""
-    weak = F.when(t["confidence"].isin("single-source", "unverified"), F.array(F.lit("needs-verification"))).otherwise(F.array().cast("array<string>"))
+    """The page's front block from title, topic_key, research_status, finding, confidence, first_raised, last_verified,
+    tags, sources and related: eleven keys in a fixed order, without confidence where that is weak (then it is a tag)."""
+    stated = t["confidence"].isin(*STATED_CONFIDENCE)
+    weak = F.when(stated, F.array().cast("array<string>")).otherwise(F.array(t["confidence"]))
+    tags = F.array_sort(F.array_distinct(F.concat(F.array(F.lit("signal-derived"), F.lit("research")), T.clean_tags(t["tags"]), weak)))
+    line = lambda key, v: F.concat(F.lit(f"{key}: "), v)
+    scalar = lambda key, name: line(key, T.yaml_scalar(t[name]))
     return F.concat_ws(
-        "\n", F.lit("---"), F.concat(F.lit("title: "), T.yaml_scalar(t["title"])), F.concat(F.lit("topic_key: "), T.yaml_scalar(t["topic_key"])), F.concat(F.lit("status: "), T.yaml_scalar(t["status"])),
-        F.concat(F.lit("confidence: "), T.yaml_scalar(t["confidence"])), F.concat(F.lit("tags: "), T.yaml_list(T.clean_tags(F.concat(t["tags"], weak)))), F.lit("---"),
+        "\n", F.lit("---"), scalar("title", "title"), F.lit("entity_type: research_task"), scalar("topic_key", "topic_key"), scalar("research_status", "research_status"),
+        line("finding", T.yaml_scalar(F.coalesce(t["finding"], F.lit("unestablished")))), F.when(stated, scalar("confidence", "confidence")),
+        scalar("first_raised", "first_raised"), scalar("last_verified", "last_verified"), line("tags", T.yaml_list(tags)), line("sources", T.yaml_list(t["sources"])), line("related", T.yaml_list(t["related"])), F.lit("---"),
     )
 
 
@@ -162,7 +172,7 @@ def patch_page(page: Column, key: Column, links: Column) -> Column:
     span = frontmatter_span(lines)
     has_key = F.exists(lines, lambda x: x.startswith("topic_key: "))
     each = F.transform(lines, lambda x, i: F.when((i < span) & x.startswith("title: ") & ~has_key, F.array(x, F.concat(F.lit("topic_key: "), key)))
-        .when((i < span) & x.startswith("related: "), F.array(F.concat(F.lit("related: "), T.yaml_list(union_lists(parse_list(F.substring(x, 10, 100000)), links))))).otherwise(F.array(x)))
+        .when((i < span) & x.startswith("related: "), F.array(F.concat(F.lit("related: "), T.yaml_list(union_lists(parse_list(F.regexp_replace(x, "^related: ", "")), links))))).otherwise(F.array(x)))
     return F.when(span.isNotNull(), F.array_join(F.flatten(each), "\n"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from functools import reduce
 
@@ -20,23 +21,58 @@ FORBIDDEN_KEYS = ("mcp_servers", "file_id", "container", "container_upload", "re
 def _phones(s: pd.Series) -> pd.DataFrame:
     import re
 
-    sep = r"(?<![\w])(?:\+\d[\d\s().-]{6,17}\d|0\d[\d\s().-]{6,15}\d|\d{2,4}[\s().-]\d{2,4}[\s().-]\d{2,6})(?![\w])"
     texts = s.fillna("")
     return pd.DataFrame({
-        "separated": [any(T.looks_like_phone(m[0]) for m in re.finditer(sep, t)) for t in texts],
+        "separated": [any(T.looks_like_phone(m[0]) for m in re.finditer(T.SEPARATED_PHONE, t)) for t in texts],
         "bare": [any(T.is_dialable(m[1]) for m in re.finditer(T.BARE_DIGITS, t)) for t in texts],
     })
 
 
 def has_forbidden_key(payload: Column, keys: Sequence[str] = FORBIDDEN_KEYS) -> Column:
-    """Whether a JSON text has one of the keys at any depth: a quoted name with a colon, outside strings' contents."""
+    """Whether a JSON text has one of the keys at any depth, however it is spelt. What isn't JSON counts as if it had."""
     names = "|".join(keys)
     # strings' contents that could look like a key are escaped in JSON, so an unescaped quote before the name is one of its own
-    return payload.rlike(rf'(?<!\\)"(?:{names})"\s*:')
-
-
-def violation(payload: Column, names: Sequence[str] = (), phones: Sequence[str] = (), group: str | None = None, group_id: str | None = None, labels: Sequence[str] | None = None, shape: bool = True, phone_rules: bool = True) -> Column:
-    """The first rule that a serialised payload breaks, or null."""
+    plain = payload.rlike(rf'(?<!\\)"(?:{names})"\s*:')
+    coded = F.contains(payload, F.lit("\\u"))  # only these can spell a key otherwise
+    return F.when(payload.isNull(), False).otherwise(F.try_parse_json(payload).isNull() | plain | F.when(coded, _keys_among(keys)(F.when(coded, payload))).otherwise(False))
+
+
+def _keys_among(keys: Sequence[str]):
+    wanted = frozenset(keys)
+
+    def has(value) -> bool:
+        todo = [value]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, dict):
+                if wanted & x.keys():
+                    return True
+                todo += x.values()
+            elif isinstance(x, list):
+                todo += x
+        return False
+
+    def of(text: str | None) -> bool:
+        try:
+            return text is not None and has(json.loads(text))
+        except (ValueError, RecursionError):
+            return True
+
+    @F.pandas_udf(BooleanType())
+    def found(s: pd.Series) -> pd.Series:
+        return s.map(of).astype(bool)
+
+    return found
+
+
+def violation(payload: Column, names: Sequence[str] = (), phones: Sequence[str] = (), group: str | None = None, group_id: str | None = None, labels: Sequence[str] | None = None, shape: bool = True, phone_rules: bool = True, allow_subset: bool = False) -> Column:
+    """The first rule that a serialised payload breaks, or null.
+
+    The phone rules know a subset of numbering plans only, which has to be asked for; a payload that isn't JSON breaks
+    the request's shape.
+    """
+    if phone_rules and not allow_subset:
+        raise RuntimeError("the phone rules know a subset of numbering plans only: pass allow_subset=True")
     t = F.replace(T.fold_confusables(payload), F.lit("\\"), F.lit("/"))
     digits = F.regexp_replace(t, "[^0-9]", "")
     hit = lambda cs: reduce(lambda a, b: a | b, cs, F.lit(False))

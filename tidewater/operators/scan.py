@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions import text as T
+
 # Shapes that identify, with their names.
 STRUCTURAL_RULES = (
     ("absolute-windows-path", r"(?i)(?<![A-Za-z0-9])[A-Za-z]:[\\/]"),
@@ -17,7 +20,10 @@ STRUCTURAL_RULES = (
     ("email", r"(?U)(?<![\w.+-])[\w.+-]+@(?!users\.noreply\.github\.com)[\w-]+\.[\w.-]+(?![\w.-])"),
     ("privacy-word-overclaim", r"(?i)\banonymi[sz](?:e|ed|es|ing|ation)\b"),
 )
-PRAGMA = r"scrub-ok(?::\s*([A-Za-z0-9_, -]+))?"
+# Fixed value: a pragma names the rules that it suppresses; without a name it does nothing.
+PRAGMA = r"(?i)scrub-ok:\s*([a-z0-9,\s-]+)"
+#: Ends of lines.
+LINE_END = r"\r\n|[\n\r\u000B\u000C\u001C-\u001E\u0085\u2028\u2029]"
 
 
 def token_rules(tokens: list[str]) -> list[tuple[str, str]]:
@@ -29,23 +35,53 @@ def token_rules(tokens: list[str]) -> list[tuple[str, str]]:
     return rules
 
 
+def _unexempt(rules: tuple[tuple[str, str], ...], exempt: tuple[str, ...]):
+    """The names of the rules that have a match in a line which no exempt phrase holds whole."""
+    import re as R
+
+    own = [(n, R.compile(p.replace("(?U)", "").replace("(?iU)", "(?i)"))) for n, p in rules]
+    phrases = [R.compile(R.escape(e), R.I) for e in exempt]
+
+    def found(line: str) -> list[str]:
+        spans = [m.span() for p in phrases for m in p.finditer(line)]
+        return [n for n, p in own if any(not any(a <= m.start() and m.end() <= z for a, z in spans) for m in p.finditer(line))]
+
+    @F.pandas_udf("array<string>")
+    def udf(s: pd.Series) -> pd.Series:
+        return s.map(found, na_action="ignore")
+
+    return udf
+
+
+def scan_lines(files: DataFrame, path: str = "path", text: str = "text", pragma: str = PRAGMA) -> DataFrame:
+    """path, i (from 0), s (the normalised line), before (the last line before it that isn't blank)."""
+    lines = files.select(F.col(path).alias("path"), F.posexplode(F.split(T.scrub_normalise(F.coalesce(F.col(text), F.lit(""))), LINE_END, -1)).alias("i", "s"))
+    w = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    return lines.withColumn("before", F.last(F.when(F.trim("s") != "", F.col("s")), ignorenulls=True).over(w))
+
+
+def pragma_count(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """How many lines carry a pragma: n."""
+    return scan_lines(files, path, text).agg(F.count_if(F.col("s").rlike(PRAGMA)).alias("n"))
+
+
 def scan(files: DataFrame, rules: tuple[tuple[str, str], ...] = STRUCTURAL_RULES, exempt: tuple[str, ...] = (), path: str = "path", text: str = "text", pragma: str = PRAGMA) -> DataFrame:
-    """path, line, rule of each finding.
+    """path, line, rule of each finding, one at most for each line and rule.
 
-    A line's rules are evaluated in one projection. Exempt phrases are taken out first where they hold the match
-    whole. A pragma on the line, or on the last line before it that isn't blank, suppresses the rules it names, or all.
+    Lines are normalised, and a line's rules evaluated in one projection. A match counts unless an exempt phrase holds it
+    whole, so that a second match beside the phrase is still found; only lines with a phrase and a match go to Python. A
+    pragma on the line, or on the last line before it that isn't blank, suppresses the rules it names, in any case.
     """
-    lines = files.select(F.col(path).alias("path"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n", -1)).alias("i", "s"))
-    w = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.last(F.when(F.trim("s") != "", F.col("s")), ignorenulls=True).over(w)
-    clean = reduce(lambda c, e: F.regexp_replace(c, r"(?i)\Q" + e + r"\E", "\u0000"), exempt, F.col("s"))
-    hits = F.array_compact(F.array(*(F.when(clean.rlike(p), F.lit(n)) for n, p in rules)))
-    marked = lines.withColumn("__before", before).withColumn("rules", hits).where(F.size("rules") > 0)
+    lines = scan_lines(files, path, text)
+    hits = F.array_compact(F.array(*(F.when(F.col("s").rlike(p), F.lit(n)) for n, p in rules)))
+    marked = lines.withColumn("rules", hits).where(F.size("rules") > 0)
+    if exempt:
+        spoken = reduce(lambda a, e: a | F.contains(F.lower("s"), F.lit(e.lower())), exempt, F.lit(False))
+        marked = marked.withColumn("rules", F.when(spoken, _unexempt(tuple(rules), tuple(exempt))(F.when(spoken, F.col("s")))).otherwise(F.col("rules")))
 
     def named(c: Column) -> Column:
-        names = F.split(F.regexp_extract(c, pragma, 1), r"[,\s]+")
-        return F.when(c.rlike(pragma), F.when(F.regexp_extract(c, pragma, 1) == "", F.array(F.lit("*"))).otherwise(names)).otherwise(F.array().cast("array<string>"))
+        return F.split(F.lower(F.regexp_extract(F.coalesce(c, F.lit("")), pragma, 1)), r"[,\s]+")
 
-    off = F.concat(named(F.col("s")), named(F.coalesce("__before", F.lit(""))))
+    off = F.concat(named(F.col("s")), named(F.col("before")))
     kept = marked.withColumn("off", off).withColumn("rule", F.explode("rules"))
-    return kept.where(~F.array_contains("off", F.lit("*")) & ~F.array_contains(F.col("off"), F.col("rule"))).select("path", (F.col("i") + 1).alias("line"), "rule")
+    return kept.where(~F.array_contains(F.col("off"), F.lower("rule"))).select("path", (F.col("i") + 1).alias("line"), "rule")

@@ -58,7 +58,8 @@ def store_counts(store: DataFrame) -> DataFrame:
     return store.agg(F.count(F.lit(1)).alias("total"), n(F.col("processed_window").isNull()).alias("pending"), n(F.col("retracted")).alias("retracted"), n(F.col("superseded_by").isNotNull()).alias("superseded"))
 
 
-def bucket_headers(lines: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
-    """Whether a line opens a new time bucket, among the lines that are there."""
-    w = Window.partitionBy(*group).orderBy("raw_ts", "source")
-    return lines.withColumn("header", ~F.lag("coarse_ts").over(w).eqNullSafe(F.col("coarse_ts")))
+def bucket_headers(lines: DataFrame, group: tuple[str, ...] = (), order: tuple[str, ...] = ("raw_ts", "source")) -> DataFrame:
+    """Whether a line opens a new time bucket, among the lines that are there: as buckets grow with time, the first of
+    each does, so that no task sees more than a bucket."""
+    w = Window.partitionBy(*group, "coarse_ts").orderBy(*order)
+    return lines.withColumn("header", F.row_number().over(w) == 1)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewater import schemas
-from tidewater.operators import archive, graph
+from tidewater.operators import archive, graph, pages, reports
 from tidewater.plans.common import Book, table
 
 _b = Book()
@@ -57,13 +56,81 @@ def status_rollup(spark, sf_dir):
     return s.select(F.col("o_orderstatus").alias("status"), "n", F.col("is_total").cast("int").alias("is_total"))
 
 
-@_b.query("""with r as (select o_orderstatus as finding, o_orderkey, row_number() over (partition by o_orderstatus order by o_totalprice desc, o_orderkey) as r, count(*) over (partition by o_orderstatus) as n from orders) select finding, o_orderkey, cast(r as integer) as rank, n - 6 as more from r where r <= 6""")
+@_b.query("""with r as (select o_orderstatus as finding, o_orderkey, row_number() over (partition by o_orderstatus order by o_orderkey) as r, count(*) over (partition by o_orderstatus) as n from orders)
+select finding, string_agg('• order ' || o_orderkey, chr(10) order by r) filter (r <= 6) || case when max(n) > 6 then chr(10) || 'and ' || (max(n) - 6) || ' more' else '' end as lines, cast(4 as integer) as ord from r group by finding""")
 def findings_top6(spark, sf_dir):
-    """The first six of each finding, and how many more there are."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("finding"), "o_orderkey", "o_totalprice")
-    n = o.groupBy("finding").agg(F.count(F.lit(1)).alias("n"))
-    r = o.withColumn("rank", F.row_number().over(Window.partitionBy("finding").orderBy(F.desc("o_totalprice"), "o_orderkey"))).where("rank <= 6")
-    return r.join(n, "finding").select("finding", "o_orderkey", "rank", (F.col("n") - 6).alias("more"))
+    """The summary: the first six of each finding, and how many more there are."""
+    o = table(spark, sf_dir, "orders")
+    return reports.summary(o.select(F.col("o_orderstatus").alias("finding"), F.col("o_orderkey").alias("seq"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("title")))
+
+
+@_b.query("select o_orderpriority as finding, count(*) as n from orders group by 1")
+def findings_histogram(spark, sf_dir):
+    return reports.findings_histogram(table(spark, sf_dir, "orders").withColumn("finding", F.col("o_orderpriority")))
+
+
+@_b.query("""with p as (select source || '/' || lpad(cast(doc_id as varchar), 9, '0') as path, 'Doc ' || doc_id as title, source from documents), k as (select * from p order by path limit 600), n as (select greatest(count(*) - 600, 0) as n from p)
+select source as folder, string_agg('- ' || title, chr(10) order by path) as lines from k group by source union all select null, n || ' more' from n where n > 0""")
+def digest_by_folder(spark, sf_dir):
+    """The index of pages by folder; the limit of 600 is the feature."""
+    d = table(spark, sf_dir, "documents")
+    return reports.digest(d.select(F.concat_ws("/", "source", F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title")))
+
+
+@_b.query(r"""with q as (select o_orderkey, rtrim(regexp_replace(trim(o_orderpriority || '  ' || o_orderstatus || repeat(' why', cast(o_orderkey % 30 as integer)) || '??'), '\s+', ' ', 'g'), '?') as q from orders)
+select o_orderkey, 'Research - ' || case when length(q) > 80 then rtrim(substr(q, 1, 77)) || '...' else q end || ' - 2026-07' as title from q""")
+def question_titles(spark, sf_dir):
+    """Titles from questions."""
+    q = F.concat("o_orderpriority", F.lit("  "), "o_orderstatus", F.repeat(F.lit(" why"), (F.col("o_orderkey") % 30).cast("int")), F.lit("??"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", pages.question_title(q, F.lit("2026-07")).alias("title"))
+
+
+_CONF, _STATUS = ("primary", "corroborated", "single-source", "unverified"), ("contested", "open", "answered")
+_SCALAR = "case when regexp_matches({0}, '^[A-Za-z0-9][A-Za-z0-9._-]*$') then {0} else '\"' || replace(replace({0}, '\\', '\\\\'), '\"', '\\\"') || '\"' end"
+
+
+def _topics(spark, sf_dir):
+    """Parts as topics."""
+    p, size = table(spark, sf_dir, "part"), F.col("p_size")
+    of = lambda names, k: F.element_at(F.array(*(F.lit(x) for x in names)), k)
+    key = F.concat(F.lit("k"), F.col("p_partkey").cast("string"))
+    evidence = F.array(F.struct(F.concat(F.lit("https://x.example/"), F.col("p_partkey").cast("string")).alias("url"), F.concat("p_type", F.lit(" | "), "p_brand").alias("quote"), F.lit("c").alias("confidence")))
+    values = dict(title=F.col("p_name"), topic_key=key, question=F.col("p_type"), answer=F.col("p_brand"), confidence=of(_CONF, size % 4 + 1), research_status=of(_STATUS, size % 3 + 1), finding=F.when(size % 2 == 0, "mixed"), headline=F.when(size % 5 == 0, F.col("p_type")),
+                  evidence=F.when(size % 7 != 0, evidence), contradictions=F.when(size % 3 == 0, F.array("p_type")), open_questions=F.lit(None).cast("array<string>"), tags=F.split("p_name", " "), stem=key, first_raised=F.lit("2026-01-01"), last_verified=F.lit("2026-02-02"),
+                  updates=F.lit(None).cast("array<struct<date:string,headline:string,changes:array<string>,sources:array<string>>>"), content_sha=F.lit(None).cast("string"), managed=F.lit(True))
+    return p.select(*(v.alias(k) for k, v in values.items()))
+
+
+def _block(title: str, related: str) -> str:
+    """SQL of the front block of a part as a topic."""
+    return f"""'---' || chr(10) || 'title: ' || {_SCALAR.format(title)} || chr(10) || 'entity_type: research_task' || chr(10) || 'topic_key: k' || p_partkey || chr(10) || 'research_status: ' || ['contested', 'open', 'answered'][p_size % 3 + 1] || chr(10)
+|| 'finding: ' || case when p_size % 2 = 0 then 'mixed' else 'unestablished' end || chr(10) || case p_size % 4 when 0 then 'confidence: primary' || chr(10) when 1 then 'confidence: corroborated' || chr(10) else '' end || 'first_raised: 2026-01-01' || chr(10)
+|| 'last_verified: 2026-02-02' || chr(10) || 'tags: [' || array_to_string(list_sort(list_distinct(list_concat(['signal-derived', 'research'], list_filter(string_split(p_name, ' '), lambda x: regexp_matches(x, '^[a-z][a-z0-9]*(-[a-z0-9]+)*$')),
+case p_size % 4 when 2 then ['single-source'] when 3 then ['unverified'] else [] end))), ', ') || ']' || chr(10) || 'sources: [' || case when p_size % 7 <> 0 then '"https://x.example/' || p_partkey || '"' else '' end || ']' || chr(10) || 'related: [{related}]' || chr(10) || '---'"""
+
+
+@_b.query(f"select p_partkey, {_block('p_name', '')} as block from part")
+def yaml_frontmatter(spark, sf_dir):
+    """Front blocks of parts as topics."""
+    t = _topics(spark, sf_dir).withColumn("sources", F.transform(F.coalesce("evidence", F.array().cast("array<struct<url:string,quote:string,confidence:string>>")), lambda e: e["url"])).withColumn("related", F.array().cast("array<string>"))
+    names = ("title", "topic_key", "research_status", "finding", "confidence", "first_raised", "last_verified", "tags", "sources", "related")
+    return t.select(F.substring("topic_key", 2, 20).cast("long").alias("p_partkey"), archive.frontmatter({n: F.col(n) for n in names}).alias("block"))
+
+
+@_b.query(f"""with t as (select *, 'Research - ' || trim(p_name) as title from part) select 'k' || p_partkey as topic_key, 'k' || p_partkey as stem, {_block('title', '"[[Hub]]"')} || chr(10) || chr(10) || '# ' || title || chr(10) || chr(10)
+|| case when p_size % 3 = 0 then '> [!warning] Contested' || chr(10) || '> Sources disagree on this. See Contradictions below before citing it.' || chr(10) || chr(10) else '' end || case when p_size % 5 = 0 then '**' || p_type || '**' || chr(10) || chr(10) else '' end
+|| '## Question' || chr(10) || chr(10) || p_type || chr(10) || chr(10) || '## Answer' || chr(10) || chr(10) || p_brand || chr(10) || chr(10) || '## Evidence' || chr(10) || chr(10)
+|| case when p_size % 7 <> 0 then '| Source | Quote | Confidence |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| https://x.example/' || p_partkey || ' | ' || p_type || ' \\| ' || p_brand || ' | c |' else '_No sources were retrieved for this entry._' end || chr(10) || chr(10)
+|| '## Contradictions' || chr(10) || chr(10) || case when p_size % 3 = 0 then '- ' || p_type else '_None found._' end || chr(10) || chr(10) || '## Open questions' || chr(10) || chr(10) || '_None recorded._' || chr(10) || chr(10)
+|| '## Provenance' || chr(10) || chr(10) || '{pages.PROVENANCE}' || chr(10) || chr(10) || '## Related Pages' || chr(10) || chr(10) || '- [[Hub]]' || chr(10) as page from t""")
+def rendered_pages(spark, sf_dir):
+    """Parts as pages of the archive."""
+    return pages.render(_topics(spark, sf_dir), hubs=("Hub",))
+
+
+@_b.query("""select l_orderkey, l_linenumber, round(least(greatest(3 * sqrt(l_quantity + 1), 8), 30) * 1.5, 9) as radius from lineitem""")
+def node_radius(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(graph.node_radius(F.col("l_quantity"), 1.5), 9).alias("radius"))
 
 
 @_b.query("""select p_partkey, p_brand || case when r = 1 then '' else ' (' || r || ')' end as given from (select p_partkey, p_brand, row_number() over (partition by p_brand order by p_partkey) + case when p_brand like '%1' then 1 else 0 end as r from part)""")

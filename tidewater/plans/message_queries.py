@@ -27,11 +27,8 @@ def _messages(spark, sf_dir):
 coalesce(lag(ts // 900000) over (order by ts, cast(user_id as varchar), event_id) <> ts // 900000, true) as header from m""")
 def bucket_headers(spark, sf_dir):
     """Lines that open a time bucket."""
-    m = _messages(spark, sf_dir)
-    from pyspark.sql import Window
-
-    w = Window.orderBy("raw_ts", "source", "event_id")
-    return m.select("source", "raw_ts", "coarse_ts", (~F.lag("coarse_ts").over(w).eqNullSafe(F.col("coarse_ts"))).alias("header"))
+    m = store.bucket_headers(_messages(spark, sf_dir), order=("raw_ts", "source", "event_id"))
+    return m.select("source", "raw_ts", "coarse_ts", "header")
 
 
 @_b.query(f"""with m as (select cast(user_id as varchar) as source, {_MS} as raw_ts, props as body, event_id as arrival from events union all select cast(user_id as varchar), {_MS}, 'again', event_id + 1000000000 from events)
@@ -135,13 +132,44 @@ def frame_dispositions(spark, sf_dir):
     return out
 
 
-@_b.query("""select user_id, cast(sum(n) as bigint) as lines from (select cast(user_id as varchar) as user_id, count(*) as n from events where props is not null and trim(props) <> '' group by 1) group by 1""")
+@_b.query(rf"""select cast(user_id as varchar) as source, {_MS} as raw_ts, 'Participant ' || user_id || ': ' || regexp_replace(translate(trim(props), '<>', '()'), '[\r\n]+', '  ', 'g') as line
+from events where props is not null and regexp_matches(props, '[\pL\pN]')""")
 def transcript_included(spark, sf_dir):
-    """Transcript lines that are included, by speaker."""
+    """Transcript lines that are included."""
     m = _messages(spark, sf_dir).withColumn("retracted", F.lit(False))
     labels = m.select(F.col("source").alias("iid")).distinct().withColumn("label", F.concat(F.lit("Participant "), "iid"))
-    t = transcript.transcript_lines(m, labels)
-    return t.where("disposition = 'included'").groupBy(F.col("source").alias("user_id")).agg(F.count("line").alias("lines"))
+    return transcript.transcript_lines(m, labels).where("disposition = 'included'").select("source", "raw_ts", "line")
+
+
+@_b.query(r"""with c as (select conv_id, turn, case turn % 2 when 0 then 'Participant A' else 'Participant B' end as me, case turn % 2 when 0 then 'Participant B' else 'Participant A' end as other,
+regexp_replace(translate(trim(text), '<>', '()'), '[\r\n]+', '  ', 'g') as t from conversations where text is not null)
+select conv_id, turn, me || ': (replying to: Participant A and member QQ) ' || other || ' says ' || t as line from c""")
+def transcript_mentions(spark, sf_dir):
+    """Lines with a mention, and a quote that forges a label."""
+    c = table(spark, sf_dir, "conversations")
+    who = lambda k: F.when(F.col("turn") % 2 == k, "a").otherwise("b")
+    mention = F.array(F.struct(F.lit(0).alias("start"), F.lit(2).alias("length"), who(1).alias("uuid")))
+    m = c.select(
+        "conv_id", "turn", who(0).alias("source"), (F.col("conv_id") * 1000 + F.col("turn")).alias("raw_ts"), F.lit(0).cast("long").alias("coarse_ts"), F.concat(F.lit("@x says "), F.trim("text")).alias("body"), mention.alias("mentions"),
+        F.lit(None).cast("string").alias("quote_author"), F.lit("Participant A and Participant QQ").alias("quote_text"), F.lit(0).alias("attachment_count"), F.lit(False).alias("retracted"),
+    )
+    labels = spark.createDataFrame([("a", "Participant A"), ("b", "Participant B")], "iid string, label string")
+    lines = transcript.transcript_lines(m, labels).where("disposition = 'included'")
+    return lines.select(F.floor(F.col("raw_ts") / 1000).alias("conv_id"), (F.col("raw_ts") % 1000).alias("turn"), "line")
+
+
+@_b.query(f"""select cast(user_id as varchar) as source, {_MS} as raw_ts, props as body, event_id as arrival from events e where event_id % 3 = 0 and not exists (select 1 from events s where s.event_id % 2 = 0 and s.user_id = e.user_id and s.ts = e.ts)""")
+def insert_or_ignore(spark, sf_dir):
+    """Every third message put into a store that has every second."""
+    m = _messages(spark, sf_dir).select("source", "raw_ts", F.col("event_id").alias("arrival"), "body")
+    return store.insert_or_ignore(m.where("arrival % 2 = 0"), m.where("arrival % 3 = 0"))
+
+
+@_b.query(f"""select cast(user_id as varchar) as source, {_MS} as raw_ts, case when event_id % 5 = 0 then 'w0' when event_type = 'purchase' then 'w1' end as processed_window from events""")
+def mark_processed(spark, sf_dir):
+    """A window's messages marked; those of an earlier window stay as they are."""
+    m = _messages(spark, sf_dir).withColumn("processed_window", F.when(F.col("event_id") % 5 == 0, "w0"))
+    return store.mark_processed(m, m.where("event_type = 'purchase'"), "w1").select("source", "raw_ts", "processed_window")
 
 
 _TASKS = """select o_orderkey % 50 as window_id, o_orderkey as seq, o_orderpriority as question, o_orderstatus <> 'P' as in_scope, round(least(1.0, o_totalprice / 200000.0), 6) as worth,

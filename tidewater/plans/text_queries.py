@@ -128,15 +128,6 @@ def topic_key_slug(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.topic_key(t).alias("topic_key"), T.slug(t).alias("slug"))
 
 
-@_b.query(r"""select p_partkey, 'title: "' || p_name || '"' || chr(10) || 'size: ' || p_size || chr(10) || 'tags: [' || array_to_string(list_sort(list_distinct(list_filter(string_split(p_name, ' '), lambda x: regexp_matches(x, '^[a-z][a-z0-9]*$')))), ', ') || ']' as block
-from part where not regexp_matches(p_name, '^[A-Za-z0-9][A-Za-z0-9._-]*$')""")
-def yaml_frontmatter(spark, sf_dir):
-    """Front-block lines of parts."""
-    p = table(spark, sf_dir, "part").where(~F.col("p_name").rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]*$"))
-    block = F.concat_ws("\n", F.concat(F.lit("title: "), T.yaml_scalar(F.col("p_name"))), F.concat(F.lit("size: "), F.col("p_size").cast("string")), F.concat(F.lit("tags: "), T.yaml_list(T.clean_tags(F.split("p_name", " ")))))
-    return p.select("p_partkey", block.alias("block"))
-
-
 _SPLICES = [("hi @x yo", [(3, 2, "A")], "hi <A> yo"), ("\U0001f600 @x yo", [(3, 2, "A")], "\U0001f600 <A> yo"), ("@alice and @bob.", [(0, 6, "A"), (11, 4, "B")], "<A> and <B>."), ("short", [(99, 5, "A")], "short"),
             ("\U0001f600x", [(1, 1, "A")], "\U0001f600x"), ("x\U0001f600", [(0, 2, "A")], "x\U0001f600"), ("abc", [(0, -1, "A")], "abc"), ("abcdef", [(0, 4, "A"), (2, 3, "B")], "ab<B>f")]
 
@@ -169,3 +160,35 @@ def line_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
     rules = [r for r in scan.STRUCTURAL_RULES if r[0] == "email"] + scan.token_rules(["scum"])
     return scan.scan(docs, tuple(rules))
+
+
+@_b.query("select conv_id, turn, turn % 3 = 0 as blocked from conversations")
+def request_shape(spark, sf_dir):
+    """Requests of which every third has a forbidden key, spelt with an escape in every sixth."""
+    c = table(spark, sf_dir, "conversations")
+    plain = F.to_json(F.struct(F.lit("requests").alias("a"), F.col("text").alias("b")))
+    nested = F.to_json(F.struct(F.array(F.struct(F.col("text").alias("requests"))).alias("x")))
+    key = F.when(F.col("turn") % 6 == 0, F.replace(nested, F.lit('"requests"'), F.lit('"\\u0072equests"'))).when(F.col("turn") % 3 == 0, nested).otherwise(plain)
+    return c.select("conv_id", "turn", firewall.has_forbidden_key(key).alias("blocked"))
+
+
+@_b.query("select doc_id, contains(lower(text), 'licen') as dropped from documents")
+def sensitive_drop(spark, sf_dir):
+    """Documents that hold a sensitive term are dropped, however it is spelt: here in full-width letters."""
+    wide = F.regexp_replace("text", "(?i)licen", "\uff4ci\uff43en")
+    return table(spark, sf_dir, "documents").select("doc_id", T.redact(wide, sensitive=["licen"], phones=False)["dropped"].alias("dropped"))
+
+
+@_b.query(f"""select doc_id, substr(sha256(text), 1, 12) as payload_id, case when regexp_matches(text, '(^|[^0-9a-zA-Z])[0-9a-fA-F]{{32}}($|[^0-9a-zA-Z])') then 'uuid-compact' when regexp_matches(text, '{_EMAIL}') then 'email' end as violation from documents where text is not null""")
+def guard_split(spark, sf_dir):
+    """Documents that pass the guard, and those in quarantine with their rule."""
+    ok, blocked = firewall.guard(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text"), "text", shape=False, phone_rules=False)
+    return ok.select("doc_id", "payload_id", F.lit(None).cast("string").alias("violation")).unionByName(blocked.select("doc_id", "payload_id", "violation"))
+
+
+@_b.query(r"""with l as (select doc_id, '- ' || split_part(text, chr(10), 1) as line from documents where text is not null)
+select doc_id, line, regexp_matches(lower(' ' || line || ' '), '[^\pL\pN_](the|license)[^\pL\pN_]') as withheld from l""")
+def safe_digest_lines(spark, sf_dir):
+    """Index lines withheld for a name in them."""
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.concat(F.lit("- "), F.substring_index("text", "\n", 1)).alias("line"))
+    return firewall.safe_digest(d, ["the"], "license").select("doc_id", "line", "withheld")

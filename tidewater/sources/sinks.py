@@ -38,8 +38,9 @@ def appended(existing: Column, header: Column, body: Column) -> Column:
     return F.concat(F.coalesce(existing, header), body)
 
 
-#: Keys whose values never go to a log.
-FORBIDDEN_LOG_KEYS = ("body", "text", "message", "quote", "name", "phone", "content")
+# Keys whose values never go to a log; the second line is our own addition.
+FORBIDDEN_LOG_KEYS = ("body", "message_text", "text", "content", "transcript",
+                      "message", "quote", "name", "phone")
 
 
 def safe_log(fields: Column) -> Column:
