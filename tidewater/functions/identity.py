@@ -77,11 +77,16 @@ def deny_list(names: DataFrame, handles: DataFrame) -> DataFrame:
 def vet_handles(handles: DataFrame, bodies: DataFrame, least_length: int = 4, least_bodies: int = 12, most_rate: float = 0.25) -> DataFrame:
     """handle, n, hits, rate, kept: handles that stand in over a quarter of at least 12 bodies are ordinary words.
 
-    The handles are a configured list (broadcast as such); bodies are counted once, hits by one pass over them.
+    The handles are a configured list (broadcast as such). Those of one word are looked up among each body's words;
+    only handles of several parts are searched for as patterns, in every body.
     """
     n = bodies.agg(F.count(F.lit(1)).alias("n"))
     word = F.expr(r"body rlike concat('(?iU)(?<!\\w)\\Q', handle, '\\E(?!\\w)')")
-    hits = bodies.join(F.broadcast(handles), word).groupBy("handle").agg(F.count(F.lit(1)).alias("hits"))
+    one = F.col("handle").rlike(r"(?U)^\w+$")
+    words = bodies.select(F.explode(F.array_distinct(F.split(F.lower("body"), r"(?U)\W+"))).alias("__word"))
+    found = words.join(F.broadcast(handles.where(one).select("handle", F.lower("handle").alias("__word"))), "__word").select("handle")
+    found = found.unionByName(bodies.join(F.broadcast(handles.where(~one)), word).select("handle"))
+    hits = found.groupBy("handle").agg(F.count(F.lit(1)).alias("hits"))
     out = handles.crossJoin(F.broadcast(n)).join(hits, "handle", "left").withColumn("hits", F.coalesce("hits", F.lit(0)).cast("long"))
     rate = F.coalesce(F.try_divide(F.col("hits"), F.col("n")), F.lit(0.0))
     return out.withColumn("rate", rate).withColumn("kept", (F.length("handle") >= least_length) & ~((F.col("n") >= least_bodies) & (rate > most_rate)))

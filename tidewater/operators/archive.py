@@ -61,12 +61,18 @@ def merge_topics(topics: DataFrame, records: DataFrame, today: str) -> DataFrame
     return both.select(*(merged[c].alias(c) for c in topics.columns))
 
 
+CUT = 8
+
+
 def merge_records_in_order(topics: DataFrame, records: DataFrame, today: str, seq: str = "seq") -> DataFrame:
-    """merge_topics for records of which some share a key: one round for each place in a key's order."""
+    """merge_topics for records of which some share a key: one round for each place in a key's order. The plan is cut by
+    a checkpoint every CUT rounds, for which spark.checkpoint.dir has to be set where there are more."""
     ranked = records.withColumn("__n", F.row_number().over(Window.partitionBy("topic_key").orderBy(seq)))
     rounds = ranked.agg(F.max("__n")).first()[0] or 0
     for n in range(1, rounds + 1):
         topics = merge_topics(topics, ranked.where(F.col("__n") == n).drop("__n"), today)
+        if n % CUT == 0 and n < rounds:
+            topics = topics.checkpoint()
     return topics
 
 

@@ -27,7 +27,7 @@ def dispositions(tasks: DataFrame, least: float = 0.6, by: tuple[str, ...] = ("w
 
 
 def escalation(difficulty: Column, answered: Column, resolved: Column, reason: Column, confidence: Column, n_sources: Column) -> Column:
-    """Why a task goes to the costly stage, or null."""
+    """Why a task goes to the costly stage, or null. The reasons are fixed values."""
     return (
         F.when(~F.coalesce(answered, F.lit(False)), "cheap pass failed or returned nothing").when(difficulty == "high", "triage marked difficulty high")
         .when(~F.coalesce(resolved, F.lit(False)), F.coalesce(F.nullif(reason, F.lit("")), F.lit("cheap pass did not resolve")))

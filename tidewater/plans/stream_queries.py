@@ -17,7 +17,11 @@ QUERIES, ORACLE = _b.queries, _b.oracle
 
 
 def _shared(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewater-stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tidewater-stream-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -55,4 +59,19 @@ def stream_mutation(spark, sf_dir):
     late = e.select("source", "raw_ts", F.lit("message").alias("kind"), F.col("props").alias("body"), F.lit(None).cast("long").alias("target_ts"), (F.col("event_id") + 1_000_000_000).alias("arrival"))
     early = e.select("source", "raw_ts", kind.alias("kind"), F.lit("").alias("body"), target.alias("target_ts"), F.col("event_id").alias("arrival")).where("kind is not null and target_ts is not null")
     s, path = _replay(spark, sf_dir, late.unionByName(early))
-    return stream.drained(spark, stream.apply_mutations(s), path).select("source", "raw_ts", "retracted", "body", "superseded_by")
+    return stream.drained(spark, stream.apply_mutations(s), path, "update").select("source", "raw_ts", "retracted", "body", "superseded_by")
+
+
+@_b.query("select distinct event_type as handle from events where event_type <> 'error'")
+def stream_observed(spark, sf_dir):
+    """What the receiver has seen of a group's handles."""
+    e = _events(spark, sf_dir)
+    s, path = _replay(spark, sf_dir, e.select(F.when(F.col("event_type") == "error", " ").otherwise(F.concat(F.lit(" "), "event_type")).alias("handle")))
+    return stream.drained(spark, stream.observed(s), path)
+
+
+@_b.query(f"select event_type as group_id, arg_max({_MS}, event_id) as last_seen from events group by 1")
+def stream_last_seen(spark, sf_dir):
+    """When each group's last message was."""
+    s, path = _replay(spark, sf_dir, _events(spark, sf_dir).select(F.col("event_type").alias("group_id"), "raw_ts", F.col("event_id").alias("arrival")))
+    return stream.drained(spark, stream.last_seen(s), path, "complete")

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,51 +18,39 @@ def bucket_counts(messages: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return messages.groupBy(floor_bucket(F.col("raw_ts")).alias("coarse_ts"), *by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def mutation_rows(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-    """State of one source: messages (raw_ts: body, retracted, superseded_by) and mutations that wait for theirs.
+def apply_mutations(stream: DataFrame) -> DataFrame:
+    """stream (source, raw_ts, kind, body, target_ts, arrival) to versions of messages, as update rows.
 
-    Each message comes out again whenever it changes; the last version counts.
+    State is one small row for each message or target (source and its raw_ts), kept for good, as late data has no limit:
+    a mutation waits there for its message. A message comes out again whenever it changes; the last version counts.
     """
-    import json
-
-    known, waiting = (json.loads(x) for x in state.get) if state.exists else ({}, {})
-    rows = pd.concat(list(frames)).sort_values("arrival", kind="stable")
-    out: dict[str, None] = {}
-
-    def apply(m: dict, kind: str, by: int) -> None:
-        if kind == "delete":
-            m.update(retracted=True, body="")
-        else:
-            m["superseded_by"] = by
-
-    for r in rows.itertuples():
-        if r.kind == "message":
-            k = str(r.raw_ts)
-            if k in known:
-                continue
-            known[k] = {"body": r.body, "retracted": False, "superseded_by": None}
-            for kind, by in waiting.pop(k, []):
-                apply(known[k], kind, by)
-            out[k] = None
-        else:
-            k = str(int(r.target_ts))
-            if k in known:
-                apply(known[k], r.kind, int(r.raw_ts))
-                out[k] = None
-            else:
-                waiting.setdefault(k, []).append((r.kind, int(r.raw_ts)))
-    state.update((json.dumps(known), json.dumps(waiting)))
-    yield pd.DataFrame([(key[0], int(k), known[k]["body"], known[k]["retracted"], known[k]["superseded_by"]) for k in out], columns=["source", "raw_ts", "body", "retracted", "superseded_by"]).astype({"superseded_by": "Int64", "raw_ts": "int64"})
+    is_message, is_edit = F.col("kind") == "message", F.col("kind") == "edit"
+    per = stream.groupBy("source", F.when(is_message, F.col("raw_ts")).otherwise(F.col("target_ts")).alias("at")).agg(
+        F.bool_or(is_message).alias("there"), F.min_by(F.when(is_message, F.col("body")), F.when(is_message, F.col("arrival"))).alias("body"), F.bool_or(F.col("kind") == "delete").alias("retracted"),
+        F.max_by(F.when(is_edit, F.col("raw_ts")), F.when(is_edit, F.col("arrival"))).alias("superseded_by"),
+    )
+    return per.where("there").select("source", F.col("at").alias("raw_ts"), F.when(F.col("retracted"), "").otherwise(F.col("body")).alias("body"), "retracted", "superseded_by")
 
 
-def apply_mutations(stream: DataFrame) -> DataFrame:
-    """stream (source, raw_ts, kind, body, target_ts, arrival) to versions of messages, as update rows."""
-    return stream.groupBy("source").applyInPandasWithState(mutation_rows, "source string, raw_ts long, body string, retracted boolean, superseded_by long", "known string, waiting string", "append", "NoTimeout")
+def observed(messages: DataFrame, handles: str = "handle") -> DataFrame:
+    """The handles seen so far, each once: what a receiver notes beside the messages of its group."""
+    return messages.where(F.coalesce(F.trim(handles), F.lit("")) != "").select(F.trim(handles).alias(handles)).dropDuplicates([handles])
+
+
+def last_seen(messages: DataFrame, by: str = "group_id") -> DataFrame:
+    """by, last_seen: the raw_ts of the message handled last, which need not be the latest."""
+    return messages.groupBy(by).agg(F.max_by("raw_ts", "arrival").alias("last_seen"))
 
 
 def drained(spark: SparkSession, stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """What a stream gives once its input is read through: written under path, read as a batch."""
-    if mode == "append":
+    if mode == "update":  # a folder for each batch: its rows stand for those of the same key before
+
+        def add(batch: DataFrame, n: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
+
+        stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    elif mode == "append":
         stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     else:
 
