@@ -588,10 +588,58 @@ def test_language(spark):
     assert language_id.identify(d, None).where("lang_pred = 'und'").count() == len(got)
 
 
+def plain_kneser_ney(counts, order, word, alphabet):
+    """Log-probability of a word's characters and end by plain interpolated Kneser-Ney over word counts, by recursion."""
+    from collections import Counter, defaultdict
+
+    raw = [Counter() for _ in range(order + 1)]
+    for w, c in counts.items():
+        s = f" {w} "
+        for i in range(1, len(s)):
+            for n in range(1, order + 1):
+                if i - n + 1 >= 0:
+                    raw[n][s[i - n + 1 : i + 1]] += c
+    used = [Counter() for _ in range(order + 1)]
+    used[order] = raw[order]
+    for n in range(1, order):
+        left = defaultdict(set)
+        for g in raw[n + 1]:
+            left[g[1:]].add(g[0])
+        used[n] = Counter({g: raw[n][g] if g[0] == " " and n > 1 else len(x) for g, x in left.items()} | {g: c for g, c in raw[n].items() if g[0] == " " and n > 1})
+
+    def discount(n):
+        n1, n2 = sum(c == 1 for c in used[n].values()), sum(c == 2 for c in used[n].values())
+        return min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
+
+    def p(g):
+        n = len(g)
+        d, follow = discount(n), {x: c for x, c in used[n].items() if x[:-1] == g[:-1]}
+        total = sum(follow.values())
+        below = p(g[1:]) if n > 1 else 1 / alphabet
+        return below if not total else max(follow.get(g, 0) - d, 0) / total + d * len(follow) / total * below
+
+    s = f" {word} "
+    return sum(np.log(p(s[max(0, i - order + 1) : i + 1])) for i in range(1, len(s)))
+
+
+def test_kneser_ney_equals_plain():
+    from collections import Counter
+
+    rng = random.Random(28)
+    made = {lang: Counter("".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(80)) for lang, letters in {"xx": "abcde", "yy": "abxyz\U00020001\U00020002"}.items()}
+    model = language_id.KneserNey(made)
+    some = [*list(made["xx"])[:15], *list(made["yy"])[:15], "abab", "edcba", "zyx", "\U00020001\U00020002\U00020001"]
+    got = model.words(some)
+    for k, lang in enumerate(model.languages):
+        want = [plain_kneser_ney(made[lang], language_id.ORDER, w, model.alphabet) for w in some]
+        seen = [i for i, w in enumerate(some) if all(c in "".join(made[lang]) for c in w)]
+        assert np.allclose(got[seen, k], np.array(want)[seen], atol=1e-3) and len(seen) >= 15
+
+
 def _prob(model, gram, lang):
     """A gram's log-probability by the sorted arrays, backing off."""
     for n in range(len(gram), 0, -1):
-        codes = np.array([ord(c) & 0xFFFF for c in gram[-n:]], np.uint64)
+        codes = np.array([ord(c) for c in gram[-n:]], np.uint64)
         keys, values = model.tables[n - 1]
         h = language_id._hashes(codes, n)[0]
         i = np.searchsorted(keys, h)
@@ -602,7 +650,7 @@ def _prob(model, gram, lang):
 
 def _back(model, ctx, lang):
     keys, values = model.backoff[len(ctx) - 1]
-    h = language_id._hashes(np.array([ord(c) & 0xFFFF for c in ctx], np.uint64), len(ctx))[0]
+    h = language_id._hashes(np.array([ord(c) for c in ctx], np.uint64), len(ctx))[0]
     i = np.searchsorted(keys, h)
     return values[i, lang] if i < len(keys) and keys[i] == h else 0.0
 

@@ -35,8 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a temporary one only where it is unset."""
+    """The folder of spark.checkpoint.dir, which all executors share; a temporary one only where it is unset and the
+    master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="tidewater-")
         spark.sparkContext.setCheckpointDir(found)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -179,6 +180,13 @@ def _merged(runs: list[list[int]]) -> list[int]:
     return out
 
 
+def _merged_summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_summary of rows with the runs of several blocks, merged."""
+    for b in batches:
+        merged = pa.array([_merged(x) for x in b["all_runs"].to_pylist()], pa.list_(pa.int64()))
+        yield from _summary([pa.RecordBatch.from_arrays([b["row_id"], b["doc_id"], b["n_words"], merged, b["items"]], names=["row_id", "doc_id", "n_words", "runs", "items"])])
+
+
 def contaminated_words(docs: DataFrame, items: DataFrame) -> DataFrame:
     """For each row of docs (doc_id, text): n_words, n_hit, n_items, items_sha256, contaminated, and runs (the starts
     and ends of hit words in turn).
@@ -186,23 +194,27 @@ def contaminated_words(docs: DataFrame, items: DataFrame) -> DataFrame:
     items (item_id, text). Null or empty texts have no words, and as items no windows; repeated item_ids count once,
     equal texts of different items each. An empty benchmark hits nothing. Repeated documents keep a row each, null
     doc_ids stay. Other columns are not read. A benchmark beyond BLOCK_WORDS is worked through in blocks, against all
-    documents each time, and what they hit is merged by document.
+    documents each time - one block on the driver and in a broadcast, its hits written - and what they hit is merged by
+    document.
     """
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     rows = texts(docs).select(F.lit(0).cast("long").alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "row_id long, doc_id long, n_words long, runs array<long>, items array<long>"
     told = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, runs array<long>"
-    blocks = [spark.sparkContext.broadcast(Windows(b)) for b in _item_blocks(items)] or [spark.sparkContext.broadcast(Windows([]))]
-    if len(blocks) == 1:
-        return rows.mapInArrow(_hits(blocks[0], True, True), told)
+    blocks = _item_blocks(items)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return rows.mapInArrow(_hits(spark.sparkContext.broadcast(Windows(first)), True, True), told)
     rows = rows.withColumn("row_id", F.xxhash64("doc_id", "text"))  # equal rows have equal hits, and each counts
-    found = rows.mapInArrow(_hits(blocks[0], True, False), schema).withColumn("n", F.lit(1))
-    for w in blocks[1:]:
-        found = found.unionByName(rows.mapInArrow(_hits(w, False, False), schema).withColumn("n", F.lit(0)))
-    merge = F.udf(_merged, "array<long>")
-    each = found.groupBy("row_id", "doc_id").agg(F.max("n_words").alias("n_words"), merge(F.collect_set("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.sum("n").cast("int").alias("n"))
-    return each.withColumn("n", F.explode(F.sequence(F.lit(1), "n"))).drop("n").mapInArrow(_summary, told)
+    found = None
+    for k, block in enumerate(chain([first, second], blocks)):
+        known = spark.sparkContext.broadcast(Windows(block))  # one block at a time: what it hits is written, and it goes
+        hits, _ = written(rows.mapInArrow(_hits(known, k == 0, False), schema).withColumn("n", F.lit(int(k == 0))), "hits")
+        known.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    each = found.groupBy("row_id", "doc_id").agg(F.max("n_words").alias("n_words"), F.collect_set("runs").alias("all_runs"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.sum("n").cast("int").alias("n"))
+    return each.withColumn("n", F.explode(F.sequence(F.lit(1), "n"))).drop("n").mapInArrow(_merged_summary, told)
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

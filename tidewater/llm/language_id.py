@@ -20,6 +20,8 @@ DOCS_PER_LANGUAGE = 2000
 MEMO_WORDS = 250_000
 #: Share of a language's own training documents whose cross-entropy may lie above its rejection threshold.
 REJECTED = 0.001
+#: One in so many sampled documents sets the temperature and thresholds, in languages with so many documents at least.
+CALIBRATION, LEAST_CALIBRATED = 5, 100
 UNDETERMINED = "und"
 
 #: ASCII but letters becomes a space; all else stays.
@@ -32,8 +34,8 @@ def letters(text: str) -> list[bytes]:
 
 
 def _codes(word: str) -> np.ndarray:
-    """The characters with the word's boundaries, as 16-bit codes; the boundary is the space."""
-    return np.array([32, *(min(ord(c), 0x1FFFF) & 0xFFFF for c in word), 32], np.uint64)
+    """The characters with the word's boundaries, as code points; the boundary is the space."""
+    return np.array([32, *map(ord, word), 32], np.uint64)
 
 
 def _hashes(codes: np.ndarray, n: int) -> np.ndarray:
@@ -78,7 +80,7 @@ class KneserNey:
 
     @staticmethod
     def _sorted(keys: list[str], n: int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        codes = np.array([[ord(c) & 0xFFFF for c in k] for k in keys], np.uint64).reshape(len(keys), n)
+        codes = np.array([[ord(c) for c in k] for k in keys], np.uint64).reshape(len(keys), n)
         h = np.full(len(keys), n, np.uint64)
         for i in range(n):
             h = mix(h * np.uint64(0x100000001B3) + codes[:, i])
@@ -230,13 +232,17 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> KneserNe
     """Models of the languages in docs (doc_id, text, lang), from about docs_per_language documents of each by a hash
     of doc_id; rows without text or lang, and held-out ones, are left out. None where nothing is left.
 
-    The temperature of the scores and the rejection thresholds are set on the same documents.
+    One in CALIBRATION of the documents of a language that has that many is not learnt from: the temperature of the
+    scores and the rejection thresholds are set on these, or on all where no language has any.
     """
     rows = texts(docs).where(~held_out() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
-    some = hash_sample(rows.select("doc_id", "lang", "text"), "lang", "doc_id", docs_per_language, counts)
+    set_by = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(CALIBRATION)) == 0
+    enough = F.col("lang").isin(*(v for v, n in counts.items() if n >= LEAST_CALIBRATED))
+    sample = hash_sample(rows.select("doc_id", "lang", "text", (set_by & enough).alias("apart")), "lang", "doc_id", docs_per_language, counts)
+    some = sample.where("not apart")
     words: dict[str, Counter] = {}
     for r in some.select("lang", "text").mapInArrow(_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toLocalIterator():
         words.setdefault(r["lang"], Counter())[r["word"]] = r["n"]
@@ -252,7 +258,9 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> KneserNe
             keep = np.flatnonzero(has)
             yield pa.RecordBatch.from_arrays([b["lang"].take(pa.array(keep)), pa.array(list(h[keep]), pa.list_(pa.float64()))], names=["lang", "h"])
 
-    told = some.select("lang", "text").mapInArrow(entropies, "lang string, h array<double>").collect()  # of the bounded sample
+    told = sample.where("apart").select("lang", "text").mapInArrow(entropies, "lang string, h array<double>").collect()  # of the bounded sample
+    if not told:
+        told = some.select("lang", "text").mapInArrow(entropies, "lang string, h array<double>").collect()
     index = {x: i for i, x in enumerate(model.languages)}
     told = [r for r in told if r["lang"] in index]
     if told:

@@ -22,7 +22,8 @@ def write_orc(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: in
 
     Texts are dealt out by ranges of doc_id and sorted there; part and row number the files and their rows in that
     order, and local_start counts the ids before a row in its part. Null text is empty (only the end id); null
-    doc_ids come first; rows that repeat a doc_id stay, by text. Other columns are not read.
+    doc_ids come first; rows that repeat a doc_id stay, by a hash of their text, so that many of one doc_id are dealt out
+    too; an empty table gives no rows. Other columns are not read.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,7 +39,8 @@ def write_orc(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: in
             row, start = row + len(n), start + int(ends[-1])
 
     rows = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash").drop("text_hash")
     (
         ordered.mapInArrow(encode, SCHEMA).write.option("orc.compress", "LZ4").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", 0.01)
         .option("orc.row.index.stride", index_stride).option("orc.stripe.size", stripe_bytes).option("orc.create.index", "true").orc(path)
