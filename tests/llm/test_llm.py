@@ -838,6 +838,62 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, base).count() > 0
 
 
+def test_pipeline_stages_on_awkward_tables(spark, tmp_path):
+    """No rows; repeated rows, null ids and texts, long texts, and columns named as those inside."""
+    import corpus_pipeline
+
+    rng = random.Random(29)
+    base = str(tmp_path)
+    spark.createDataFrame([(0, 0, 1), (1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
+    texts = [*AWKWARD, words(rng, 30), words(rng, 30), "again and again the same few words", "again and again the same few words", words(rng, 5000)]
+    ids = [*range(len(AWKWARD)), 50, None, 60, 60, 70]
+    full = docs_of(spark, texts, ids=ids).withColumn("tox_score", F.lit("x")).withColumn("component_id", F.lit(1)).withColumn("grp", F.lit("g"))
+    for d, many in ((full, True), (full.limit(0), False)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            columns = d.columns
+            d = stage(spark, d, base)
+            assert d.columns == columns and (d.count() > 0) == many, name
+            assert {r[0] for r in d.select("key").distinct().collect()} <= {"k"} and d.where("tox_score <> 'x' or component_id <> 1 or sig <> 's'").count() == 0
+        kept = [(r["doc_id"], r["text"]) for r in d.collect()]
+        if many:  # the copies go, everything else stays
+            assert sorted(kept, key=repr) == sorted({(i, t) for i, t in zip(ids, texts, strict=True) if i != AWKWARD.index("same text of some words here") + 1}, key=repr)
+        rows = corpus_pipeline.pack(spark, d, base).collect()
+        memo = tokens.TokenBytes()
+        want = sorted((i or -1, k, len(b[a : a + 16384]) // 4, zlib.crc32(b[a : a + 16384])) for i, t in kept for b in memo.of([(t or "").encode()], 1) for k, a in enumerate(range(0, len(b), 16384)))
+        assert sorted((r["doc_id"] or -1, r["piece"], r["length"], r["ids_crc32"]) for r in rows) == want
+        used = {}
+        for r in rows:
+            used[r["sequence_id"]] = used.get(r["sequence_id"], 0) + r["length"]
+        assert max(used.values(), default=0) <= packing.CAPACITY
+
+
+def plain_matches(g, text):
+    """What a clause's words weigh by kind, read off the rules of the grammar one word at a time."""
+    got = dict.fromkeys(toxicity.KINDS, 0.0)
+    for clause in re.split(r"[.!?;\n]", text.lower()):
+        of = [g.look(m[0]) for m in re.finditer(r"[^\W\d_]+(?:['’][^\W\d_]+)?", clause)]
+        kinds = [c for c, _ in of]
+        for i, (c, w) in enumerate(of):
+            denied = toxicity.NEGATION in kinds[max(0, i - 3) : i]
+            told = toxicity.REPORT in kinds[:i]
+            aimed = toxicity.TARGET in kinds[max(0, i - 4) : i]
+            if c == toxicity.INSULT:
+                got["denied" if denied else "told" if told else "aimed" if aimed else "plain"] += w
+            elif c == toxicity.THREAT and aimed and not denied and not told:
+                got["menace"] += w
+    return got
+
+
+def test_machine_equals_plain_rules():
+    g = toxicity.Grammar({"idiot": 5.0, "scum": 4.0}, {"stup": 4.0})
+    rng = random.Random(30)
+    vocabulary = ["idiot", "scum", "stupid", "you", "they", "not", "never", "said", "wrote", "kill", "burn", "so", "a", "plain", ".", ";", "\n", "can't", "don't"]
+    for _ in range(3000):
+        text = " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 18)))
+        assert dict(zip(toxicity.KINDS, g.sums(text), strict=True)) == plain_matches(g, text), text
+
+
 def test_without_keys_keeps_nulls(spark):
     a = spark.createDataFrame([(1,), (2,), (None,)], "k long")
     assert sorted(r["k"] or 0 for r in without_keys(a, spark.createDataFrame([(2,), (None,)], "k long"), "k").collect()) == [0, 1]

@@ -219,9 +219,9 @@ def contaminated_words(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the documents that hold a window of an item; all columns stay."""
-    keyed = docs.withColumn("key", row_key())
-    found, _ = written(contaminated_words(keyed.select(F.col("key").alias("doc_id"), "text"), items).where("contaminated").select(F.col("doc_id").alias("key")), "contaminated")
-    return without_keys(keyed, found, "key").select(*docs.columns)
+    keyed = docs.withColumn("__row_key", row_key())
+    found, _ = written(contaminated_words(keyed.select(F.col("__row_key").alias("doc_id"), "text"), items).where("contaminated").select(F.col("doc_id").alias("__row_key")), "contaminated")
+    return without_keys(keyed, found, "__row_key").select(*docs.columns)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -333,10 +333,11 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     A group without any doc_id keeps a row of each text. All columns stay.
     """
     found, _ = written(similar_documents(docs), "similar")
-    keyed = docs.withColumn("key", row_key())
-    gone = found.where("component_id is not null and not (doc_id <=> component_id)").select("key")
-    again = found.where("component_id is null or doc_id <=> component_id").groupBy("key").count().where("count > 1").select("key")
-    return once_of(without_keys(keyed, gone, "key"), again, "key").select(*docs.columns)
+    keyed = docs.withColumn("__row_key", row_key())
+    named = found.withColumnRenamed("key", "__row_key")
+    gone = named.where("component_id is not null and not (doc_id <=> component_id)").select("__row_key")
+    again = named.where("component_id is null or doc_id <=> component_id").groupBy("__row_key").count().where("count > 1").select("__row_key")
+    return once_of(without_keys(keyed, gone, "__row_key"), again, "__row_key").select(*docs.columns)
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

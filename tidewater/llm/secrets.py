@@ -146,10 +146,10 @@ def hide_live_secrets(docs: DataFrame, mask: str = "<secret>") -> DataFrame:
     through are joined with their spans, the others pass as they are.
     """
     _, spans, _ = scan(docs)
-    live = spans.where("verdict = 'live'").groupBy("key").agg(F.array_sort(F.collect_set(F.struct(F.col("secret_start").alias("a"), F.col("end").alias("z")))).alias("__spans"))
-    keyed = docs.withColumn("key", row_key())
-    flagged = bit_flag(keyed, live.select("key"), "key", "__may")
-    hit = flagged.where("__may").join(live, "key", "left")
+    live = spans.where("verdict = 'live'").groupBy(F.col("key").alias("__row_key")).agg(F.array_sort(F.collect_set(F.struct(F.col("secret_start").alias("a"), F.col("end").alias("z")))).alias("__spans"))
+    keyed = docs.withColumn("__row_key", row_key())
+    flagged = bit_flag(keyed, live.select("__row_key"), "__row_key", "__may")
+    hit = flagged.where("__may").join(live, "__row_key", "left")
     # spans of one text: sorted; what overlaps an earlier one adds only what lies past it
     start = F.struct(F.lit("").alias("t"), F.lit(0).cast("long").alias("at"))
     step = lambda acc, s: F.when(

@@ -13,7 +13,7 @@ from tidewater.llm.common import kept
 
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces in each of the memo's two generations; a bound on memory, without effect on results.
-GENERATION = 600_000
+GENERATION = 450_000
 #: Words in one text that is encoded for the memo.
 JOINED = 50
 

@@ -291,17 +291,20 @@ def _reader(g: Grammar) -> Reader:
     return kept(g.key, lambda: Reader(g))
 
 
-def score_rows(rows: DataFrame, model: Grammar) -> DataFrame:
-    """All columns of rows (with text, string) and tox_score; null and empty texts score as texts without any match."""
+def score_rows(rows: DataFrame, model: Grammar, into: str = "tox_score") -> DataFrame:
+    """All columns of rows (with text, string) and the score, under a name that rows don't have; null and empty texts
+    score as texts without any match."""
+    if into in rows.columns:
+        raise ValueError(f"{into} is a column already")
     known = rows.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             got = _reader(known.value).texts([t or "" for t in b["text"].to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([s for _, s in got], pa.float64())], names=[*b.schema.names, "tox_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([s for _, s in got], pa.float64())], names=[*b.schema.names, into])
 
-    return texts(rows).mapInArrow(score, f"{schema}, tox_score double")
+    return texts(rows).mapInArrow(score, f"{schema}, `{into}` double")
 
 
 def score_documents(docs: DataFrame, model: Grammar) -> DataFrame:
