@@ -245,7 +245,7 @@ def test_similar_documents_edges(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [4, 5, 7]
 
 
-@pytest.mark.parametrize("hot", [500, 3])
+@pytest.mark.parametrize("hot", [20_000, 3])
 def test_components(spark, monkeypatch, hot):
     monkeypatch.setattr(components, "HOT_ROWS", hot)
     rng = random.Random(7)

@@ -13,15 +13,22 @@ def _both(edges: DataFrame) -> DataFrame:
 
 
 #: Rows of one node from which on its joins are dealt over PARTS tasks, and the least share of all rows that this is.
-HOT_ROWS, HOT_SHARE, PARTS = 500, 2000, 32
+#: Below, they are some hundred kB in one task, and the plans of a dealt round would only cost the driver memory.
+HOT_ROWS, HOT_SHARE, PARTS = 20_000, 2000, 32
 
 
-def _to_nodes(rows: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
+def _hot_from(total: int) -> int:
+    return max(total // HOT_SHARE, HOT_ROWS)
+
+
+def _to_nodes(rows: DataFrame, nodes: DataFrame, total: int, any_hot: bool) -> DataFrame:
     """rows (u, v) joined with nodes (u, m, n: the number of rows with this u).
 
-    Nodes with very many rows - no more than 2 * HOT_SHARE of them, as `total` edges have - are dealt by the other end.
+    Where any are hot, nodes with very many rows - no more than 2 * HOT_SHARE of them, as there are `total` edges - are dealt by the other end.
     """
-    hot = F.col("n") > max(total // HOT_SHARE, HOT_ROWS)
+    if not any_hot:
+        return rows.join(nodes.select("u", "m"), "u")
+    hot = F.col("n") > _hot_from(total)
     flags = nodes.where(hot).select("u", F.lit(True).alias("__hot"))
     part = F.when(F.col("__hot"), F.pmod(F.xxhash64("v"), F.lit(PARTS))).otherwise(F.lit(0).cast("long"))
     dealt = rows.join(F.broadcast(flags), "u", "left").select("u", "v", part.alias("__part"))
@@ -41,10 +48,12 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
     for _ in range(most):
         both = _both(now)
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = _to_nodes(both, least, 2 * mark["n"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # a node has no more rows in `down` than in `both`
+        any_hot = 2 * mark["n"] > HOT_ROWS and bool(least.where(F.col("n") > _hot_from(mark["n"])).head(1))
+        large = _to_nodes(both, least, mark["n"], any_hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = _to_nodes(down, low, mark["n"]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = _to_nodes(down, low, mark["n"], any_hot).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         after, new = written(small, "edges")
         new_mark = after.agg(*check).first()
         drop_path(edges.sparkSession, path)
