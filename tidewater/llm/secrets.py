@@ -14,7 +14,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bit_flag, hot_split_join, row_key, table
+from tidewater.llm.common import bit_flag, hot_split_join, row_key, table, written
 from tidewater.llm.native_spans import found_spans, has_hits, listed, span_rows, unheld
 
 _ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]++)"
@@ -99,6 +99,7 @@ def scan(docs: DataFrame, repository: str | None = None, owner: str = "source",
     is_key = F.col("kind") == "private_key"
     body = F.when(is_key, F.regexp_replace(F.regexp_replace("secret", rf"-----(?:BEGIN|END) {_PEM}|\\[nr]", ""), "[^A-Za-z0-9+/=]", "")).otherwise(F.col("secret"))
     spans = spans.withColumn("secret_start", F.col("end") - F.length("secret")).withColumn("body", body).withColumn("hash", F.xxhash64("body", F.length("body")))
+    spans, _ = written(spans, "candidates")  # few rows, which the counts and the join read
     # one row for each holder first, so that a value in a third of all documents comes to few rows
     holders = spans.groupBy("hash", "__repo", "__owner").agg(F.count(F.lit(1)).alias("n"))
     by_owner = holders.groupBy("hash", "__owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("n").alias("n"))
