@@ -72,9 +72,9 @@ def test_reports(spark):
 
 
 def test_stages(spark):
-    req = spark.createDataFrame([(1, "plain"), (2, "mail b@" + "c.de"), (3, "x"), (4, "y")], "task_id int, payload string")
+    req = spark.createDataFrame([(1, '{"a": "plain"}'), (2, '{"a": "mail b@' + 'c.de"}'), (3, "{}"), (4, "{}"), (5, "no JSON")], "task_id int, payload string")
     res = spark.createDataFrame([(1, '{"resolved": true, "answer": "a"}', False), (3, None, True)], "task_id int, body string, refused boolean")
     got = {r["task_id"]: r for r in stages.exchange(req, res, "cheap", allow_subset=True).collect()}
-    assert {k: r["status"] for k, r in got.items()} == {1: "ok", 2: "blocked_out", 3: "refused", 4: "missing"} and got[1]["response"]["resolved"]
+    assert {k: r["status"] for k, r in got.items()} == {1: "ok", 2: "blocked_out", 3: "refused", 4: "missing", 5: "blocked_out"} and got[1]["response"]["resolved"]
     blocks = [(1, '{"type":"web_search_tool_result","content":[{"url":"u1"}]}'), (1, '{"type":"web_search_tool_result","content":{"error":1}}'), (1, '{"type":"web_fetch_tool_result","content":{"type":"web_fetch_result","url":"u2"}}'), (1, '{"type":"text","url":"u3"}')]
     assert sorted(r["url"] for r in stages.retrieved_urls(spark.createDataFrame(blocks, "task_id int, block string")).collect()) == ["u1", "u2"]
