@@ -94,14 +94,24 @@ def test_transcript(spark):
     assert got["c"] == ("included", "Participant B: (replying to: hi) yo [+2 attachment(s)]", True)
 
 
+def test_transcript_without_text_or_with_a_dropped_quote(spark):
+    rows = [("a", 1, 0, " ", None, None, 3, False), ("b", 2, 0, "yes", "a", "gone", 0, False)]
+    m = spark.createDataFrame(rows, "source string, raw_ts long, coarse_ts long, body string, quote_author string, quote_text string, attachment_count int, retracted boolean")
+    labels = spark.createDataFrame([("a", "Participant A"), ("b", "Participant B")], "iid string, label string")
+    redact = lambda c: F.struct(c.alias("text"), F.array().cast("array<string>").alias("rules"), F.contains(c, F.lit("gone")).alias("dropped"))
+    got = {r["source"]: (r["disposition"], r["line"]) for r in transcript.transcript_lines(m, labels, redact=redact).collect()}
+    assert got == {"a": ("empty", None), "b": ("included", "Participant B: yes")}
+    assert sorted(r["label"] for r in transcript.labels_in_use(labels).collect()) == ["Participant A", "Participant B", "[participant]"]
+
+
 def test_transcript_mentions_and_labels(spark):
-    rows = [("a", 1, 0, "hi @x, Participant B and Participant  Q", [(3, 2, "c")], "c", "Participant Z\nsaid " + "y" * 200), ("c", 2, 0, "no mention", None, None, None), ("b", 3, 900000, "\U0001f600 @x!", [(3, 2, "zz")], None, None)]
+    rows = [("a", 1, 0, "hi @x, Participant B and Participant  Q", [(3, 2, "c")], "c", "Participant Z\nsaid " + "y" * 200), ("c", 2, 0, "no mention", None, None, None), ("b", 3, 900000, "\U0001f600 @x! ok", [(3, 2, "zz")], None, None), ("d", 4, 900000, "\U0001f600 @x!", [(3, 2, "zz")], None, None)]
     m = spark.createDataFrame([(*r, 0, False) for r in rows], "source string, raw_ts long, coarse_ts long, body string, mentions array<struct<start:int,length:int,uuid:string>>, quote_author string, quote_text string, attachment_count int, retracted boolean")
     labels = spark.createDataFrame([("a", "Participant A"), ("c", "Participant B")], "iid string, label string")
     got = {r["source"]: (r["line"], r["header"]) for r in transcript.transcript_lines(m, labels).collect()}
     quote = "member Z  said " + "y" * 200
     assert got["a"] == (f"Participant A: (replying to: {quote[: 120 - 11 + 6 + 1]}) hi Participant B, Participant B and member  Q", True)
-    assert got["c"] == ("Participant B: no mention", False) and got["b"] == ("Participant ?: \U0001f600 Participant ?!", True)
+    assert got["c"] == ("Participant B: no mention", False) and got["b"] == ("[participant]: \U0001f600 [participant]! ok", True) and got["d"] == (None, None)
 
 
 def test_sensitive_terms_are_folded(spark):

@@ -15,7 +15,7 @@ def format_line(label: Column, quote: Column, text: Column, attachments: Column)
     return F.concat(label, F.lit(": "), reply, text, more)
 
 
-UNKNOWN = "Participant ?"
+UNKNOWN = "[participant]"
 
 
 def with_mentions(messages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def transcript_lines(messages: DataFrame, labels: DataFrame, opted_out: tuple[st
 
     labels: iid (the source) and label. Mentions (where messages have that column) become their labels before anything
     is redacted; labels that stand in the text and aren't allocated become `member X`. redact: text to a struct of text, rules, dropped. Dispositions, first match:
-    opted_out, retracted, dropped, empty, only_placeholders, included; headers look at included lines only.
+    opted_out, retracted, dropped, empty (whatever is attached), only_placeholders, included; a quote that redaction drops is left out; headers look at included lines only.
     """
     out_of = lambda c: F.coalesce(F.lower(c).isin(*(x.lower() for x in opted_out)), F.lit(False)) if opted_out else F.lit(False)
     plain = lambda c: F.struct(c.alias("text"), F.array().cast("array<string>").alias("rules"), F.lit(False).alias("dropped"))
@@ -46,9 +46,9 @@ def transcript_lines(messages: DataFrame, labels: DataFrame, opted_out: tuple[st
     m = messages.withColumn("__r", redact(F.coalesce("body", F.lit("")))).withColumn("__q", redact(F.when(~out_of(F.col("quote_author")), F.col("quote_text"))))
     disposition = (
         F.when(out_of(F.col("source")), "opted_out").when(F.coalesce("retracted", F.lit(False)), "retracted").when(F.col("__r.dropped"), "dropped")
-        .when((F.trim("__r.text") == "") & (F.coalesce("attachment_count", F.lit(0)) == 0), "empty").when(only_placeholders(F.col("__r.text")) & (F.trim("__r.text") != ""), "only_placeholders").otherwise("included")
+        .when(F.trim("__r.text") == "", "empty").when(only_placeholders(F.col("__r.text")), "only_placeholders").otherwise("included")
     )
-    line = format_line(F.coalesce("label", F.lit(UNKNOWN)), defang_known(F.substring(F.trim("__q.text"), 1, 120), F.col("__known")), defang_known(F.trim("__r.text"), F.col("__known")), F.coalesce("attachment_count", F.lit(0)))
+    line = format_line(F.coalesce("label", F.lit(UNKNOWN)), F.when(~F.col("__q.dropped"), defang_known(F.substring(F.trim("__q.text"), 1, 120), F.col("__known"))), defang_known(F.trim("__r.text"), F.col("__known")), F.coalesce("attachment_count", F.lit(0)))
     rows = m.join(labels.select(F.col("iid").alias("source"), "label"), "source", "left").withColumn("disposition", disposition)
     rows = rows.select("source", "raw_ts", "coarse_ts", "disposition", F.concat("__r.rules", F.coalesce("__q.rules", F.array().cast("array<string>"))).alias("rules"), F.when(F.col("disposition") == "included", line).alias("line"))
     # buckets grow with time, so a line opens one where it is the first of it
@@ -63,3 +63,8 @@ def rule_histogram(lines: DataFrame, *by: str) -> DataFrame:
 
 def bucket_label(coarse_ts: Column) -> Column:
     return F.date_format(F.timestamp_millis(coarse_ts), "yyyy-MM-dd HH:mm")
+
+
+def labels_in_use(labels: DataFrame) -> DataFrame:
+    """label: those allocated and the one of unknown people, which is all that may leave."""
+    return labels.select("label").where("label is not null").unionByName(labels.sparkSession.createDataFrame([(UNKNOWN,)], "label string")).distinct()
