@@ -111,3 +111,19 @@ def safe_digest(lines: DataFrame, names: Sequence[str], group: str | None = None
     """line, withheld: index lines (`- …`) that name someone or the group are withheld."""
     bad = reduce(lambda a, b: a | b, (F.col("line").rlike(T.whole_word(n)) for n in [*names, *([group] if group else [])]), F.lit(False))
     return lines.withColumn("withheld", F.col("line").startswith("- ") & bad)
+
+
+def canonical(payload: Column) -> Column:
+    """JSON with sorted keys and characters as they are, as it is hashed; null for what isn't JSON."""
+
+    def of(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(json.loads(text), sort_keys=True, ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return None
+
+    @F.pandas_udf("string")
+    def written(s: pd.Series) -> pd.Series:
+        return s.map(of)
+
+    return written(payload)

@@ -50,3 +50,12 @@ def grounded(records: DataFrame, retrieved: DataFrame, key: str = "task_id") ->
 def kept_task_urls(urls: Column, kept: Column) -> Column:
     """Task urls that are verbatim among the kept ones and hold no placeholder."""
     return F.filter(F.array_intersect(urls, kept), lambda u: ~F.contains(u, F.lit("[")))
+
+
+def counts(tasks: DataFrame, *by: str) -> DataFrame:
+    """How many tasks of gate.dispositions went where; accepted holds the updates among them."""
+    n = lambda *d: F.coalesce(F.count_if(F.col("disposition").isin(*d)), F.lit(0))
+    return tasks.groupBy(*by).agg(
+        n("accepted", "accepted_update").alias("accepted"), n("accepted_update").alias("accepted_updates"), n("out_of_scope").alias("rejected_out_of_scope"),
+        n("low_worth").alias("rejected_low_worth"), n("duplicate").alias("rejected_duplicate"), n("deferred").alias("deferred_over_cap"),
+    )

@@ -33,11 +33,58 @@ def pack_rgb(r: Column, g: Column, b: Column) -> Column:
 def parse_color(c: Column) -> Column:
     """#rgb, #rrggbb, #rrggbbaa or rgb(r, g, b) as a packed integer; null for anything else."""
     h = F.regexp_replace(F.trim(c), r"(?i)^#([0-9a-f])([0-9a-f])([0-9a-f])$", "#$1$1$2$2$3$3")
-    rgb = r"(?i)^rgba?\(\s*(\d{1,3})\s*,\s*(\d{1,3})\s*,\s*(\d{1,3})"
-    part = lambda i: F.least(F.regexp_extract(h, rgb, i).try_cast("int"), F.lit(255))
+    rgb = r"(?i)^rgba?\(\s*([\d.]+)\s*[, ]\s*([\d.]+)\s*[, ]\s*([\d.]+)"
+    part = lambda i: F.least(F.round(F.regexp_extract(h, rgb, i).try_cast("double")).cast("int"), F.lit(255))
     return F.when(h.rlike(r"(?i)^#[0-9a-f]{6}(?:[0-9a-f]{2})?$"), F.conv(F.substring(h, 2, 6), 16, 10).cast("int")).when(h.rlike(rgb), pack_rgb(part(1), part(2), part(3)))
 
 
+def channels(color: Column) -> tuple[Column, Column, Column]:
+    """Red, green and blue of a packed integer, 0 to 1."""
+    return tuple(F.shiftright(color, s).bitwiseAND(F.lit(255)) / 255.0 for s in (16, 8, 0))
+
+
+def hsl(color: Column) -> tuple[Column, Column, Column]:
+    """Hue (in turns), saturation and lightness of a packed integer; grey has neither hue nor saturation."""
+    r, g, b = channels(color)
+    top, low = F.greatest(r, g, b), F.least(r, g, b)
+    d, l = top - low, (top + low) / 2  # noqa: E741
+    turn = F.when(top == r, (g - b) / d).when(top == g, (b - r) / d + 2).otherwise((r - g) / d + 4)
+    grey = d == 0
+    return F.when(grey, 0.0).otherwise(F.pmod(turn, F.lit(6.0)) / 6), F.when(grey, 0.0).otherwise(d / (1 - F.abs(2 * l - 1))), l
+
+
+def from_hsl(h: Column, s: Column, l: Column) -> Column:  # noqa: E741
+    """The packed integer of a hue in turns, a saturation and a lightness; halves go up, whatever the last digits of a double."""
+    a = s * F.least(l, 1 - l)
+
+    def channel(n: int) -> Column:
+        k = F.pmod(h * 12 + n, F.lit(12.0))
+        return F.floor(F.round((l - a * clamp(F.least(k - 3, 9 - k), -1.0, 1.0)) * 255, 9) + 0.5).cast("int")
+
+    return pack_rgb(channel(0), channel(8), channel(4))
+
+
+def lighten(color: Column, by: float) -> Column:
+    """A packed colour moved towards white by a share of what is left."""
+    h, s, l = hsl(color)  # noqa: E741
+    return from_hsl(h, s, l + (1 - l) * by)
+
+
+def weak_variant(accent: Column) -> Column:
+    """The pale end of the gradient: 0.4 of the saturation, 0.55 nearer to white."""
+    h, s, l = hsl(accent)  # noqa: E741
+    return from_hsl(h, s * 0.4, l + (1 - l) * 0.55)
+
+
+def isolation_query(nodes: DataFrame, most: int = 4000) -> DataFrame:
+    """query: the search that shows just the nodes (id, type, ord) with a page, in order; null where there is none or it
+    would be longer than `most`. Each node takes 11 characters or more, so that a bounded number of them decides."""
+    pages = nodes.where("type is null or type not in ('unresolved', 'tag')").orderBy("ord", "id").limit(most // 11 + 2)
+    part = F.concat(F.lit('path:"'), "id", F.lit('"'))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id", part.alias("p")))), lambda x: x["p"]), " OR ")
+    return pages.agg(joined.alias("q")).select(F.when((F.length("q") > 0) & (F.length("q") <= most), F.col("q")).alias("query"))
+
+
 def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """From a point to a segment."""
     dx, dy = bx - ax, by - ay

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.operators.archive import status_order
@@ -54,3 +54,18 @@ def last_runs(runs: DataFrame, n: int, attempted: str = "cheap_attempted", resol
 
 def findings_histogram(records: DataFrame, by: str = "finding") -> DataFrame:
     return records.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def roster_coverage(roster: DataFrame) -> DataFrame:
+    """How much a roster covers; what it lacks counts as none."""
+    n = lambda c: F.coalesce(F.array_size(c), F.lit(0)).alias(c)
+    return roster.select(*(n(c) for c in ("names", "handles", "phones", "opted_out")), F.when(F.coalesce("group_name", F.lit("")) != "", 1).otherwise(0).alias("group_name"))
+
+
+def percent(share: Column) -> Column:
+    """A share as a whole percentage, halves to even."""
+    return F.concat(F.bround(share * 100).cast("long").cast("string"), F.lit("%"))
+
+
+def disposition_counts(rows: DataFrame, *by: str, disposition: str = "disposition") -> DataFrame:
+    return rows.groupBy(*by, disposition).agg(F.count(F.lit(1)).alias("n"))

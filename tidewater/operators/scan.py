@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
@@ -85,3 +86,19 @@ def scan(files: DataFrame, rules: tuple[tuple[str, str], ...] = STRUCTURAL_RULES
     off = F.concat(named(F.col("s")), named(F.col("before")))
     kept = marked.withColumn("off", off).withColumn("rule", F.explode("rules"))
     return kept.where(~F.array_contains(F.col("off"), F.lower("rule"))).select("path", (F.col("i") + 1).alias("line"), "rule")
+
+
+def publishable(tracked: DataFrame, others: DataFrame, ignored: DataFrame) -> DataFrame:
+    """path: what would be published - tracked files, and others that no rule ignores; once each."""
+    return tracked.select("path").unionByName(others.select("path").join(ignored.select("path").distinct(), "path", "left_anti")).distinct()
+
+
+def targets(files: DataFrame, mode: str = "all", staged: DataFrame | None = None, explicit: Sequence[str] = ()) -> DataFrame:
+    """path: the files that a scan looks at - those named, else the staged ones, else all."""
+    if explicit:
+        return files.sparkSession.createDataFrame([(p,) for p in dict.fromkeys(explicit)], "path string")
+    if mode == "staged":
+        if staged is None:
+            raise ValueError("no table of staged files")
+        return staged.select("path").distinct()
+    return files.select("path").distinct()

@@ -56,3 +56,9 @@ def resolve_topic(tasks: DataFrame, known: DataFrame) -> DataFrame:
 
 def token_usage(responses: DataFrame, by: str = "window_id") -> DataFrame:
     return responses.groupBy(by).agg(*(F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("input_tokens", "output_tokens")))
+
+
+def citation_urls(results: DataFrame, key: str = "task_id") -> DataFrame:
+    """key, url: what the sources of a task's search results name, trimmed, once each; empty ones don't count."""
+    each = results.select(key, F.explode("sources").alias("s")).select(key, F.trim(F.col("s.url")).alias("url"))
+    return each.where("url <> ''").distinct()

@@ -176,19 +176,34 @@ _TASKS = """select o_orderkey % 50 as window_id, o_orderkey as seq, o_orderprior
 case when o_orderkey % 5 = 0 then 'k' end as duplicate_of, case when o_orderkey % 10 = 0 then 'new' end as new_information from orders"""
 
 
-@_b.query(f"""with t as ({_TASKS}), c as (select *, duplicate_of is not null as known, duplicate_of is not null and new_information is not null as is_update from t),
+_GATE = f"""with t as ({_TASKS}), c as (select *, duplicate_of is not null as known, duplicate_of is not null and new_information is not null as is_update from t),
 d as (select *, case when not in_scope then 'out_of_scope' when known and not is_update then 'duplicate' when worth < 0.6 then 'low_worth' else 'candidate' end as disp from c),
 e as (select *, disp = 'candidate' and (not is_update or row_number() over (partition by window_id, disp, is_update order by worth desc, question, seq) <= 2) as may from d),
-f as (select *, may and row_number() over (partition by window_id, may order by worth desc, is_update, question, seq) <= 4 as taken from e)
-select seq, case when disp <> 'candidate' then disp when taken and is_update then 'accepted_update' when taken then 'accepted' else 'deferred' end as disposition from f""")
-def gate_topk(spark, sf_dir):
-    """The gate's choice among orders as tasks."""
+f as (select *, may and row_number() over (partition by window_id, may order by worth desc, is_update, question, seq) <= 4 as taken from e),
+g as (select seq, window_id, case when disp <> 'candidate' then disp when taken and is_update then 'accepted_update' when taken then 'accepted' else 'deferred' end as disposition from f)"""
+
+
+def _gated(spark, sf_dir):
+    """Orders as tasks, through the gate."""
     o = table(spark, sf_dir, "orders")
     t = o.select(
         (F.col("o_orderkey") % 50).alias("window_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("question"), (F.col("o_orderstatus") != "P").alias("in_scope"),
         F.round(F.least(F.lit(1.0), F.col("o_totalprice") / 200000.0), 6).alias("worth"), F.when(F.col("o_orderkey") % 5 == 0, "k").alias("duplicate_of"), F.when(F.col("o_orderkey") % 10 == 0, "new").alias("new_information"),
     )
-    return gate.dispositions(t).select("seq", "disposition")
+    return gate.dispositions(t)
+
+
+@_b.query(f"{_GATE} select seq, disposition from g")
+def gate_topk(spark, sf_dir):
+    """The gate's choice among orders as tasks."""
+    return _gated(spark, sf_dir).select("seq", "disposition")
+
+
+@_b.query(f"""{_GATE} select window_id, count(*) filter (disposition in ('accepted', 'accepted_update')) as accepted, count(*) filter (disposition = 'accepted_update') as accepted_updates,
+count(*) filter (disposition = 'out_of_scope') as rejected_out_of_scope, count(*) filter (disposition = 'low_worth') as rejected_low_worth, count(*) filter (disposition = 'duplicate') as rejected_duplicate, count(*) filter (disposition = 'deferred') as deferred_over_cap from g group by 1""")
+def gate_counts(spark, sf_dir):
+    """How many tasks of each window went where."""
+    return gate.counts(_gated(spark, sf_dir), "window_id")
 
 
 @_b.query("""select o_orderkey, case when o_orderkey % 11 = 0 then 'cheap pass failed or returned nothing' when o_orderpriority like '1%' then 'triage marked difficulty high' when o_orderkey % 3 = 0 then 'cheap pass did not resolve'

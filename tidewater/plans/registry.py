@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidewater.plans import archive_queries, message_queries, stream_queries, text_queries
+from tidewater.plans import archive_queries, message_queries, stream_queries, text_queries, window_queries
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _part in (text_queries, message_queries, archive_queries, stream_queries):
+for _part in (text_queries, message_queries, archive_queries, stream_queries, window_queries):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +61,14 @@ def drained(spark: SparkSession, stream: DataFrame, path: str, mode: str = "appe
 
         stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/out")
+
+
+def windows(stream: DataFrame, path: str, each: Callable[[DataFrame, str], None]) -> None:
+    """each(rows, window) for each micro-batch of what has arrived; path is the checkpoint in a shared folder.
+
+    A window is committed after `each` has returned. Where it raises - a refusal, a lost driver - the window stays pending
+    and comes again with the same name and rows, so writes have to be idempotent by window. A blocked window is one
+    that `each` puts into quarantine and returns from.
+    """
+    started = stream.writeStream.foreachBatch(lambda rows, i: each(rows, f"w{i}")).option("checkpointLocation", path).trigger(availableNow=True).start()
+    started.awaitTermination()
