@@ -245,6 +245,29 @@ def test_similar_documents_edges(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [4, 5, 7]
 
 
+def test_chance_shingles_are_no_candidates(spark, monkeypatch):
+    """Texts that share a few shingles with the next one, as many do by chance in a large corpus, aren't gathered and compared.
+
+    All counts are alike, as they are in a large corpus for all but very frequent shingles.
+    """
+    compared, plain = [], jaccard_join.written
+
+    def counted(df, what):
+        out = plain(df, what)
+        if what == "members":
+            compared.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", counted)
+    monkeypatch.setattr(jaccard_join, "_sketch", lambda profiles: np.zeros(1 << jaccard_join.SKETCH_BITS, np.uint8))
+    rng = random.Random(8)
+    passages = [words(rng, 6, 10**6) for _ in range(121)]
+    texts = [f"{passages[i]} {words(rng, 60, 10**6)} {passages[i + 1]}" for i in range(120)] + [f"{words(rng, 80, 10**6)}"]
+    texts.append(texts[-1] + " more")
+    got = jaccard_join.similar_documents(docs_of(spark, texts)).select("component_id").distinct().count()
+    assert (got, compared) == (len(texts) - 1, [2])
+
+
 @pytest.mark.parametrize("hot", [20_000, 3])
 def test_components(spark, monkeypatch, hot):
     monkeypatch.setattr(components, "HOT_ROWS", hot)

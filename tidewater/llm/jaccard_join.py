@@ -3,9 +3,11 @@
 A document's shingles are put in one order over the whole corpus, rare ones first by a sketch of all counts. Two sets
 with Jaccard t or more share at least l shingles of their prefixes of length n - ceil(t n) + l. Each document picks l
 by the estimated cost of its candidates, so that documents with frequent prefix shingles get longer prefixes and must
-share more before they count as candidates. Short posting lists give pairs; long ones give a star, which is linear in
-the list, and the sets below are compared exactly. Every candidate cluster is then verified on whole sets, in blocks
-of bounded size, and each block gives a spanning forest of its links rather than its pairs.
+share more before they count as candidates. What a pair's prefixes share also bounds what its sets can share, which sorts
+out nearly all pairs that share by chance: these grow with the square of the corpus and would chain it into one cluster.
+Short posting lists give pairs; long ones give a star, which is linear in the list, and the sets below are compared
+exactly. Every candidate cluster is then verified on whole sets, in blocks of bounded size, and each block gives a
+spanning forest of its links rather than its pairs.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import WordHash, bit_prefilter, drop_path, grams, hot_split_join, mix, once_of, row_key, runs, sliced, table, texts, utf8, without_keys, word_hash, written
@@ -28,10 +30,11 @@ NUM, DEN = 3, 4
 SKETCH_BITS = 20
 CHUNK = 4096
 #: Posting lists up to this many documents give all their pairs, longer ones a star.
-LIST_MOST = 32
+LIST_MOST = 128
 #: Shingles and documents that a block of a cluster holds.
 BLOCK_SHINGLES, BLOCK_DOCS = 1 << 20, 1024
-MULTI = (1, 2, 4, 8)
+#: Shingles of the prefixes that a pair has to share, and what is asked for (where a set has as many) when none is frequent.
+MULTI, LEAST_MULTI = (1, 2, 4, 8), 4
 
 
 def shingles(text: bytes, memo: WordHash, k: int = WORDS) -> np.ndarray:
@@ -110,9 +113,9 @@ def _prefixes(levels) -> callable:
                 most = min(n, n - need + min(MULTI[-1], need))
                 order = np.lexsort((s, q))[:most] if n < 64 else _first(q, s, most)
                 cost = np.cumsum(excess[q[order]])
-                ell = 1
-                if cost[n - need] > 0:
-                    ell = min((l for l in MULTI if l <= need), key=lambda l: cost[n - need + l - 1] * (1 + 0.05 * n / l))
+                ell = max(l for l in MULTI if l <= min(need, LEAST_MULTI))
+                if cost[n - need + ell - 1] > 0:
+                    ell = min((l for l in MULTI if ell <= l <= need), key=lambda l: cost[n - need + l - 1] * (1 + 0.05 * n / l))
                 k = n - need + ell
                 out[0].append(s[order[:k]])
                 out[1].append(np.full(k, sig, np.int64))
@@ -133,7 +136,7 @@ def _first(q: np.ndarray, s: np.ndarray, most: int) -> np.ndarray:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by token and set: all pairs of short posting lists that size allows (star false, with where the
+    """From rows sorted by token and set: all pairs of short posting lists that sizes and places allow (star false, with where the
     shared token stands in either), and of long lists each document with the first (star true)."""
     names = ["a", "b", "meta_a", "meta_b", "star"]
 
@@ -184,11 +187,15 @@ def _closed(tok, sig, meta, made) -> Iterator[pa.RecordBatch]:
     star = np.flatnonzero((of > LIST_MOST) & (first > 0))
     if len(star):
         yield made(sig[star - first[star]], sig[star], meta[star], meta[star], True)
-    n = meta >> 40
-    for d in range(1, min(LIST_MOST, int(of.max()))):
-        i = np.flatnonzero((of <= LIST_MOST) & (first + d < of))
-        j = i + d
-        fit = DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j])
+    n, pos = meta >> 40, (meta >> 8) & 0xFFFFFFFF
+    left = np.flatnonzero(of <= LIST_MOST)
+    for d in range(1, LIST_MOST):
+        left = left[first[left] + d < of[left]]
+        if not len(left):
+            break
+        i, j = left, left + d
+        most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])  # before this place, and from it on
+        fit = (DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j])) & ((NUM + DEN) * most >= NUM * (n[i] + n[j]))
         i, j = i[fit], j[fit]
         if len(i):
             yield made(sig[i], sig[j], meta[i], meta[j], False)
@@ -287,6 +294,19 @@ def _blocks(members: DataFrame) -> DataFrame:
     return one.unionByName(own).unionByName(up).unionByName(down)
 
 
+def _may_link() -> Column:
+    """Whether a pair without a long list in common can have the similarity, by what its prefixes share.
+
+    All that the sets share lies at the first shared place or after it. And what they share of the prefix that ends first
+    (in the corpus order) is in both prefixes, so beyond `shared` there is only that set's rest, n - (n - need + l).
+    """
+    (na, pa, la), (nb, pb, lb) = ((F.shiftright(m, 40), F.expr(f"shiftright({m}, 8) & 4294967295"), F.expr(f"{m} & 255")) for m in ("ma", "mb"))
+    least = NUM * (na + nb)
+    after = 1 + F.least(na - pa - 1, nb - pb - 1)
+    rest = F.greatest(F.ceil(na * NUM / DEN) - la, F.ceil(nb * NUM / DEN) - lb)
+    return (F.col("shared") >= F.least(la, lb)) & ((NUM + DEN) * after >= least) & ((NUM + DEN) * (F.col("shared") + rest) >= least)
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) and key (a hash of doc_id and text) of every row.
 
@@ -304,13 +324,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     tokens = rows.mapInArrow(_prefixes(levels), "token long, sig long, meta long")
     lists = tokens.repartition("token").sortWithinPartitions("token", "sig")
     found = lists.mapInArrow(_candidates, "a long, b long, meta_a long, meta_b long, star boolean")
-    pos = lambda c: F.expr(f"shiftright({c}, 8) & 4294967295")
-    per = found.groupBy("a", "b").agg(
-        F.count_if(~F.col("star")).alias("shared"), F.bool_or("star").alias("star"), F.min(pos("meta_a")).alias("pa"), F.min(pos("meta_b")).alias("pb"),
-        F.max(F.shiftright("meta_a", 40)).alias("na"), F.max(F.shiftright("meta_b", 40)).alias("nb"), F.least(F.max(F.expr("meta_a & 255")), F.max(F.expr("meta_b & 255"))).alias("ell"),
-    )
-    bound = (NUM + DEN) * (1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)) >= NUM * (F.col("na") + F.col("nb"))
-    edges, edges_path = written(per.where(F.col("star") | ((F.col("shared") >= F.col("ell")) & bound)).select(F.col("a").alias("u"), F.col("b").alias("v")), "candidates")
+    # a set's meta differs by place only, so that its least has the first place
+    per = found.groupBy("a", "b").agg(F.count_if(~F.col("star")).alias("shared"), F.bool_or("star").alias("star"), F.min("meta_a").alias("ma"), F.min("meta_b").alias("mb"))
+    edges, edges_path = written(per.where(F.col("star") | _may_link()).select(F.col("a").alias("u"), F.col("b").alias("v")), "candidates")
     clusters = connected_components(edges)
     members, members_path = written(sigs.join(clusters.withColumnRenamed("node", "sig"), "sig").select(F.col("component").alias("cluster"), "rep", "n"), "members")
 
