@@ -42,6 +42,22 @@ def test_defang(spark):
     assert one(spark, text.defang(F.col("t"), ["A"]), t="<x>\n\nParticipant A, Participant ZZ") == "(x)  Participant A, member ZZ"
 
 
+def test_redact_rows(spark):
+    """The same as the column, in a plan that names each pattern a few times only."""
+    texts = [None, "", "Anna Smith wrote to a@b.example from the Ravenhill", "call +1 415 555 0123 at https://t.me/x or https://sec.gov/a", "\u0661\u0662 \uff21nna\u200b Smith linkedin.com/in/x 1" + "a" * 26, "x" * 3000]
+    rows = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(texts)], "id long, text string, r string")
+    args = dict(names=["Anna Smith"], group="Ravenhill", allow_subset=True)
+    out = text.redact_rows(rows, "text", "redacted", **args)
+    assert sorted(out.collect()) == sorted(rows.withColumn("redacted", text.redact(F.col("text"), **args)).collect())
+    assert out._jdf.queryExecution().executedPlan().toString().count("RLIKE") < 40
+
+
+def test_letters_beyond_three(spark):
+    """Labels go on in base 26, as the reference's rule does."""
+    got = [r["x"] for r in spark.createDataFrame([(18277,), (18278,), (90000,), (475253,), (475254,)], "n long").select(identity.letters(F.col("n")).alias("x")).collect()]
+    assert got == ["ZZZ", "AAAA", "ECCO", "ZZZZ", "AAAAA"]
+
+
 def test_hmac_and_letters(spark):
     key = bytes(range(32))
     assert one(spark, identity.internal_id(key, F.col("t")), t=" AbC ") == hmac.new(key, b"abc", hashlib.sha256).hexdigest()[:12]

@@ -7,7 +7,7 @@ import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -37,6 +37,8 @@ SPEAKER_RE = r"\bParticipant\s+([A-Z]{1,3})\b"
 
 # Characters that render as nothing or reorder what is rendered.
 INVISIBLE = [0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00AD, 0x034F, 0x180E, *range(0x200E, 0x2010), *range(0x202A, 0x202F), *range(0x2066, 0x206A), *range(0xFFF9, 0xFFFC)]
+_INVISIBLE = re.compile("[" + "".join(map(chr, INVISIBLE)) + "]")
+_FOREIGN_DIGIT = re.compile(r"(?![0-9])\d")
 
 SIMPLE_LAYERS = (("email", EMAIL_RE, EMAIL), ("uuid", UUID_RE, UUID), ("uuid-compact", UUID_COMPACT_RE, UUID), ("iban", IBAN_RE, IBAN))
 
@@ -50,8 +52,8 @@ NEEDS = {
 def _fold(text: str) -> str:
     if text.isascii():
         return text
-    s = unicodedata.normalize("NFKC", text).translate(dict.fromkeys(INVISIBLE))
-    return "".join(str(unicodedata.decimal(c)) if not c.isascii() and c.isdecimal() else c for c in s)
+    s = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
+    return _FOREIGN_DIGIT.sub(lambda m: str(unicodedata.decimal(m[0])), s)
 
 
 @F.pandas_udf(StringType())
@@ -84,33 +86,50 @@ def strip_bom(text: Column) -> Column:
 
 
 class Layers:
-    """A text as it goes through layers, and the rules that fired: each layer sees what the one before left."""
+    """A text as it goes through layers, and the rules that fired: each layer sees what the one before left.
 
-    def __init__(self, text: Column):
-        self.raw, self.text, self.fired = text, text, []
+    With rows, each layer is a projection of its own, worked out once; without, all layers are one expression, in which a
+    later layer repeats the earlier ones.
+    """
+
+    def __init__(self, text: Column, rows: DataFrame | None = None):
+        self.rows, self.fired, self.made = rows, [], 0
+        self.raw = self.text = self.apart(text)
+
+    def apart(self, column: Column) -> Column:
+        """settled, behind an explode of one value: beside Python functions, Spark would write projections into each other."""
+        return self.settled(F.explode(F.array(self.settled(column)))) if self.rows is not None else column
+
+    def settled(self, *columns: Column):
+        """The columns as columns of the rows, where there are rows."""
+        if self.rows is not None:
+            names = [f"__layer_{self.made + i}" for i in range(len(columns))]
+            self.rows, self.made = self.rows.withColumns(dict(zip(names, columns, strict=True))), self.made + len(names)
+            columns = [F.col(n) for n in names]
+        return columns[0] if len(columns) == 1 else columns
 
     def replace(self, rule: str, pattern: str, by: str, needs=None) -> "Layers":
         """needs: a cheap condition on the raw text without which the pattern can't match (no placeholder meets one).
 
-        Only the first layer replaces under its condition: a later one names the text once, or the expression would
-        double with each layer.
+        Without rows, only the first layer replaces under its condition: a later one names the text once, or the
+        expression would double with each layer.
         """
         hit, new = self.text.rlike(pattern), F.regexp_replace(self.text, pattern, by)
         if needs is not None:
             hit = needs(self.raw) & hit
-            if not self.fired:
-                new = F.when(needs(self.raw), new).otherwise(self.text)
-        self.fired.append(F.when(hit, F.lit(rule)))
-        self.text = new
+            if not self.fired or self.rows is not None:
+                new = F.when(needs(self.text), new).otherwise(self.text)
+        fired, self.text = self.settled(F.when(hit, F.lit(rule)), new)
+        self.fired.append(fired)
         return self
 
     def rules(self) -> Column:
         return F.array_compact(F.array(*self.fired)) if self.fired else F.array().cast("array<string>")
 
 
-def redact_simple(text: Column) -> Layers:
+def redact_simple(text: Column | Layers) -> Layers:
     """E-mail, dashed and compact UUIDs, IBANs."""
-    out = Layers(text)
+    out = text if isinstance(text, Layers) else Layers(text)
     for rule, pattern, by in SIMPLE_LAYERS:
         out.replace(rule, pattern, by, NEEDS.get(rule))
     return out
@@ -131,7 +150,7 @@ def kept_urls(text: Column) -> Column:
 
 
 def redact_links(layers: Layers) -> Layers:
-    return layers.replace("personal-url", PERSONAL_URL_RE, LINK).replace("personal-url-bare", BARE_PERSONAL_RE, LINK)
+    return layers.replace("personal-url", PERSONAL_URL_RE, LINK, lambda t: F.contains(t, F.lit("://"))).replace("personal-url-bare", BARE_PERSONAL_RE, LINK, lambda t: F.contains(t, F.lit("/")))
 
 
 def addresses(text: Column) -> Column:
@@ -208,10 +227,10 @@ def redact_phones(layers: Layers, allow_subset: bool = False) -> Layers:
     """
     if not allow_subset:
         raise RuntimeError("phone redaction knows a subset of numbering plans only: pass allow_subset=True")
-    may = layers.text.rlike(SEVEN_DIGITS)
-    after = F.when(may, _phones_udf(F.when(may, layers.text))).otherwise(layers.text)
-    layers.fired.append(F.when(after != layers.text, F.lit("phone")))
-    layers.text = after
+    before = layers.apart(layers.text)
+    may = layers.settled(before.rlike(SEVEN_DIGITS))
+    layers.text = layers.apart(F.when(may, _phones_udf(F.when(may, before))).otherwise(before))
+    layers.fired.append(layers.settled(F.when(layers.text != before, F.lit("phone"))))
     return layers
 
 
@@ -221,13 +240,24 @@ def redact(text: Column, names: Sequence[str] = (), group: str | None = None, se
 
     A text that holds a sensitive term once folded is dropped: empty text. Null stays null.
     """
-    folded = fold_confusables(text) if fold else text
-    layers = redact_simple(folded)
+    return _redacted(text, Layers(fold_confusables(text) if fold else text), names, group, sensitive, phones, allow_subset)
+
+
+def redact_rows(rows: DataFrame, text: str, into: str, names: Sequence[str] = (), group: str | None = None, sensitive: Sequence[str] = (), fold: bool = True, phones: bool = True, allow_subset: bool = False) -> DataFrame:
+    """rows with what redact gives for a column of theirs, in projections that work each layer out once."""
+    layers = Layers(fold_confusables(F.col(text)) if fold else F.col(text), rows)
+    out = _redacted(F.col(text), layers, names, group, sensitive, phones, allow_subset)
+    return layers.rows.select(*(c for c in rows.columns if c != into), out.alias(into))
+
+
+def _redacted(text: Column, layers: Layers, names: Sequence[str], group: str | None, sensitive: Sequence[str], phones: bool, allow_subset: bool) -> Column:
+    folded = layers.raw
+    redact_simple(layers)
     if phones:
         redact_phones(layers, allow_subset)
-    kept = kept_urls(layers.text)
+    kept = layers.settled(kept_urls(layers.text))
     redact_links(layers)
-    n_addresses = addresses(layers.text)
+    n_addresses = layers.settled(addresses(layers.text))
     redact_names(layers, group, names)
     dropped = F.lit(False)
     for t in sensitive:

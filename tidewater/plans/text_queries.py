@@ -75,8 +75,8 @@ def redact_full_vectors(spark, sf_dir):
 @_b.query()
 def redact_documents(spark, sf_dir):
     """All redaction layers on every document."""
-    r = T.redact(F.col("text"), names=["Anna Smith"], group="Ravenhill", allow_subset=True)
-    return table(spark, sf_dir, "documents").select("doc_id", r.alias("r")).select("doc_id", "r.text", F.array_join("r.rules", ",").alias("rules"), "r.kept_urls", "r.kept_addresses")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return T.redact_rows(docs, "text", "r", names=["Anna Smith"], group="Ravenhill", allow_subset=True).select("doc_id", "r.text", F.array_join("r.rules", ",").alias("rules"), "r.kept_urls", "r.kept_addresses")
 
 
 _NAMES, _HANDLES = ["Anna Smith", "Bo"], ["@annas", "xy", "thor"]
