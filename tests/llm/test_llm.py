@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.llm import components, decontamination, flac, html_text, jaccard_join, language_id, media, native_spans, packing, pii, secrets, token_output, tokens, toxicity
-from tidewater.llm.common import new_path, without_keys
+from tidewater.llm.common import bits_for, new_path, once_of_kept, without_keys
 from tidewater.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row_id long, key string, rid int, sig string, html string"
@@ -245,6 +245,45 @@ def test_similar_documents_edges(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [4, 5, 7]
 
 
+def shuffled(spark, work):
+    """Bytes and rows that work's shuffles write, and what it returns."""
+
+    def stages():
+        found = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return [found.apply(i) for i in range(min(found.size(), 300))]  # the latest come first
+
+    before = max((s.stageId() for s in stages()), default=-1)
+    out = work()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    new = [s for s in stages() if s.stageId() > before]
+    return sum(s.shuffleWriteBytes() for s in new), sum(s.shuffleWriteRecords() for s in new), out
+
+
+def test_copies_and_their_shingles_are_not_shuffled(spark, tmp_path):
+    """Where nearly all rows are copies, their texts don't shuffle to be removed, and a set's shingles are sent once."""
+    rng = random.Random(41)
+    base = [words(rng, 1500, 10**6) for _ in range(24)]
+    docs_of(spark, base * 12).coalesce(1).write.parquet(f"{tmp_path}/one")
+    size = 12 * sum(map(len, base))
+    sent, _, kept = shuffled(spark, lambda: sorted(r["doc_id"] for r in jaccard_join.without_near_duplicates(spark.read.parquet(f"{tmp_path}/one")).collect()))
+    assert kept == list(range(24)) and sent < size / 3  # what the tokens of one copy take, and no texts
+    docs_of(spark, base * 4).repartitionByRange(4, "doc_id").write.parquet(f"{tmp_path}/four")
+    _, rows, found = shuffled(spark, lambda: jaccard_join.similar_documents(spark.read.parquet(f"{tmp_path}/four")).collect())
+    assert {r["component_id"] for r in found} == set(range(24))
+    assert rows < 2 * 24 * 1500 / 4  # prefixes are a quarter of each set
+
+
+@pytest.mark.parametrize("bits", [6, 7, 23])
+def test_once_of_kept(spark, bits):
+    """Exact however full the bitmaps are; repeated keys stay once, and a kept key that isn't marked stays as it is."""
+    rows = spark.createDataFrame([(k, f"t{k}") for k in range(400)] + [(k, f"t{k}") for k in range(0, 400, 20)], "k long, text string")
+    kept = spark.createDataFrame([(k,) for k in range(400) if k % 4 == 0], "k long")
+    marked = spark.createDataFrame([(k,) for k in range(400) if k % 4 or k % 20 == 0], "k long")
+    assert sorted((r["k"], r["text"]) for r in once_of_kept(rows, kept, marked, "k", bits).collect()) == [(k, f"t{k}") for k in range(0, 400, 4)]
+    assert once_of_kept(rows.limit(0), kept.limit(0), marked.limit(0), "k", bits).count() == 0
+    assert [bits_for(n) for n in (0, 10**4, 10**6, 10**9)] == [16, 17, 23, 25]
+
+
 def test_chance_shingles_are_no_candidates(spark, monkeypatch):
     """Texts that share a few shingles with the next one, as many do by chance in a large corpus, aren't gathered and compared.
 

@@ -65,6 +65,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files that no plan needs any more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 _KEPT: dict = {}
 
 
@@ -213,9 +219,19 @@ def without_keys(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return flagged.where(~F.col("__may")).select(*rows.columns).unionByName(rest.select(*rows.columns))
 
 
-def once_of(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """The rows, but one only for each key among the keys. Only rows that a fixed-size bitmap marks are shuffled."""
-    flagged = bit_flag(rows, keys, on, "__may")
-    marked = flagged.where("__may").join(keys.select(on).distinct().withColumn("__is", F.lit(True)), on, "left")
-    once = marked.where("__is").dropDuplicates([on]).select(*rows.columns)
-    return flagged.where(~F.col("__may")).select(*rows.columns).unionByName(marked.where(F.col("__is").isNull()).select(*rows.columns)).unionByName(once)
+def bits_for(keys: int, most: int = 25) -> int:
+    """Bits (as a power of two) of a bitmap with about eight for each key, within a bound."""
+    return min(most, max(16, (8 * max(keys, 1) - 1).bit_length()))
+
+
+def once_of_kept(rows: DataFrame, kept: DataFrame, marked: DataFrame, on: str, bits: int = 23) -> DataFrame:
+    """The rows whose key is among the kept ones, one row for each key.
+
+    Each row's key has to be in kept or in marked, and in both where it is kept and repeated. A row that the bitmap of
+    marked doesn't know stays and one that the bitmap of kept doesn't know goes, so that only rows which both may know
+    shuffle, once: neither the rows that stay nor those that go, however large their share.
+    """
+    flagged = bit_flag(bit_flag(rows, marked, on, "__out", bits), kept, on, "__in", bits)
+    open_ = flagged.where(F.col("__out") & F.col("__in")).select(*rows.columns).dropDuplicates([on])
+    rest = open_.join(kept.select(on).distinct(), on, "left_semi")
+    return flagged.where(~F.col("__out")).select(*rows.columns).unionByName(rest.select(*rows.columns))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import WordHash, bit_prefilter, drop_path, grams, hot_split_join, mix, once_of, row_key, runs, sliced, table, texts, utf8, without_keys, word_hash, written
+from tidewater.llm.common import WordHash, bit_flag, bit_prefilter, bits_for, drop_path, grams, hot_split_join, mix, once_of_kept, release, row_key, runs, sliced, table, texts, utf8, word_hash, written
 from tidewater.llm.components import connected_components
 
 WORDS = 5
@@ -314,6 +314,11 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     rows are copies of each other and stay; null doc_ids stay and are never a component's name while another is
     there; without a doc_id, a row belongs to the rows of its own set only. Other columns are not read.
     """
+    return _similar(docs)[0]
+
+
+def _similar(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """What similar_documents returns, and the paths that it reads."""
     spark = docs.sparkSession
     rows = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profiles, profiles_path = written(rows.withColumn("key", row_key()).mapInArrow(_profiles, "doc_id long, key long, n long, sig long, chunk int, counts binary"), "profiles")
@@ -321,39 +326,49 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     own = profiles.where("chunk is null").select("doc_id", "key", "n", "sig")
     sigs, sigs_path = written(own.where("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sigs")
 
-    tokens = rows.mapInArrow(_prefixes(levels), "token long, sig long, meta long")
+    total = own.count()
+    first = bit_flag(rows, sigs.select(F.col("rep").alias("doc_id")), "doc_id", "__first", bits_for(sigs.count()))
+    one = first.where(F.col("__first") | F.col("doc_id").isNull()).select("doc_id", "text")  # a row of each set, and few others
+    tokens = one.mapInArrow(_prefixes(levels), "token long, sig long, meta long")
     lists = tokens.repartition("token").sortWithinPartitions("token", "sig")
     found = lists.mapInArrow(_candidates, "a long, b long, meta_a long, meta_b long, star boolean")
     # a set's meta differs by place only, so that its least has the first place
     per = found.groupBy("a", "b").agg(F.count_if(~F.col("star")).alias("shared"), F.bool_or("star").alias("star"), F.min("meta_a").alias("ma"), F.min("meta_b").alias("mb"))
     edges, edges_path = written(per.where(F.col("star") | _may_link()).select(F.col("a").alias("u"), F.col("b").alias("v")), "candidates")
+    release(spark)  # the tokens, which are the most
     clusters = connected_components(edges)
     members, members_path = written(sigs.join(clusters.withColumnRenamed("node", "sig"), "sig").select(F.col("component").alias("cluster"), "rep", "n"), "members")
 
     blocks = _blocks(members)
     some = bit_prefilter(rows, members.select(F.col("rep").alias("doc_id")), "doc_id").withColumnRenamed("doc_id", "rep")
     routed = some.join(blocks.hint("shuffle_hash"), "rep").select("key", "side", "rep", "text")
-    links, _ = written(routed.repartition("key").sortWithinPartitions("key").mapInArrow(_verified, "u long, v long"), "links")
+    links, links_path = written(routed.repartition("key").sortWithinPartitions("key").mapInArrow(_verified, "u long, v long"), "links")
+    release(spark)
     parts = connected_components(links)
     named = sigs.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "n", "copies", F.coalesce("component", "rep").alias("component_id"))
-    total = own.count()
-    for p in (edges_path, members_path):
+    for p in (edges_path, members_path, links_path):
         drop_path(spark, p)
     full = hot_split_join(own.where("n > 0"), named, ["sig", "n"], "copies", total)
-    return full.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "key").unionByName(own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "key"))
+    found = full.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "key").unionByName(own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "key"))
+    return found, [profiles_path, sigs_path]
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one document of each component: the one that names it, and one row of repeated ones.
 
-    A group without any doc_id keeps a row of each text. All columns stay.
+    A group without any doc_id keeps a row of each text. All columns stay. Texts are not shuffled for this, but for a few
+    rows that bitmaps leave open.
     """
-    found, _ = written(similar_documents(docs), "similar")
-    keyed = docs.withColumn("__row_key", row_key())
-    named = found.withColumnRenamed("key", "__row_key")
-    gone = named.where("component_id is not null and not (doc_id <=> component_id)").select("__row_key")
-    again = named.where("component_id is null or doc_id <=> component_id").groupBy("__row_key").count().where("count > 1").select("__row_key")
-    return once_of(without_keys(keyed, gone, "__row_key"), again, "__row_key").select(*docs.columns)
+    spark = docs.sparkSession
+    similar, paths = _similar(docs)
+    found, _ = written(similar, "similar")
+    for p in paths:
+        drop_path(spark, p)
+    release(spark)
+    named = found.select(F.col("key").alias("__row_key"), F.expr("component_id is null or doc_id <=> component_id").alias("__stays"))
+    kept = named.where("__stays").groupBy("__row_key").count()
+    marked = named.where("not __stays").select("__row_key").unionByName(kept.where("count > 1").select("__row_key"))
+    return once_of_kept(docs.withColumn("__row_key", row_key()), kept, marked, "__row_key", bits_for(found.count())).select(*docs.columns)
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
